@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import quality, simhash, suffix_dedup
+from quillspark.llm import packing, quality, simhash, suffix_dedup, toxicity
+
+
+def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; the labels in sf_dir teach what is toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +28,18 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return suffix_dedup.cut_repeats(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("suffix_array_dedup", suffix_array_dedup)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the documents that are left, by their ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_passages),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 ORACLE_SQL = None
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import quality, simhash, suffix_dedup
+from quillspark.llm import packing, quality, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +15,28 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxic_report(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(_table(spark, sf_dir, "documents"))
 
 
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array_dedup,
+    "op3_toxicity": toxic_passages,
     "op7_quality_rules": quality_rules,
+    "op8_best_fit_packing": best_fit_packing,
     "op9_simhash_near_dedup": simhash_near_dedup,
 }
 
