@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, quality, simhash, suffix_dedup, toxicity
+from quillspark.llm import licenses, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_report(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(_table(spark, sf_dir, "documents"))
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_report(_table(spark, sf_dir, "documents"))
 
@@ -32,12 +36,18 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.normalise_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op3_toxicity": toxic_passages,
+    "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
     "op8_best_fit_packing": best_fit_packing,
     "op9_simhash_near_dedup": simhash_near_dedup,
+    "op10_warc": warc_members,
 }
 
 #: None of these is expressible in SQL over whole tables; tests/llm holds each against brute force.
