@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, licenses, packing, quality, simhash, suffix_dedup, toxicity, warc
+from quillspark.llm import bpe, licenses, lm, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_spans(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op3_toxicity": toxic_passages,
     "op4_byte_bpe": byte_bpe,
+    "op5_lm_scoring": lm_scoring,
     "op6_license_scan": license_scan,
     "op7_quality_rules": quality_rules,
     "op8_best_fit_packing": best_fit_packing,
