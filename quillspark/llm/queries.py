@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, licenses, lm, packing, quality, simhash, suffix_dedup, toxicity, warc
+from quillspark.llm import ann, bpe, licenses, lm, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxic_report(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ def warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_array_dedup,
+    "op2_nearest_neighbours": nearest_neighbours,
     "op3_toxicity": toxic_passages,
     "op4_byte_bpe": byte_bpe,
     "op5_lm_scoring": lm_scoring,
