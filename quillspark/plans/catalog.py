@@ -518,10 +518,10 @@ def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.growth(table(spark, sf_dir, "events"), "value", "event_id", ["user_id"]).select("user_id", *(r6(c) for c in ("min", "max", "mean", "growth")))
 
 
-@register("r56_overlap", "select p_brand brand from part where p_size < 25 intersect select p_brand from part where p_retailprice > 1000")
+@register("r56_overlap", "select p_brand brand from part where p_size < 25 intersect select p_brand from part where p_retailprice > 990")
 def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_size", "p_retailprice")
-    return rows.where("p_size < 25").select("brand").intersect(rows.where("p_retailprice > 1000").select("brand"))
+    return rows.where("p_size < 25").select("brand").intersect(rows.where("p_retailprice > 990").select("brand"))
 
 
 @register("r57_bag_of_words_topk", f"with {_bag_sql()} select query_id, id, rank, round(score, 6) score from gr")
