@@ -280,7 +280,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     c_id, c_text = (f"c{names.index(x)}" for x in (id_col, text_col))
     chars = names.index(chars_col) if chars_col in names else None
     joined = inner.join(sized(found, 200), F.col(c_id).cast("bigint").eqNullSafe(F.col("q_id")) & (F.xxhash64(c_text) == F.col("q_hash")), "left").drop("q_id", "q_hash")
-    t = names.index(text_col)
+    t, plain = names.index(text_col), inner.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, c_text):
@@ -288,7 +288,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             hit = np.flatnonzero(np.asarray(lists.is_valid()))
             arrays = piece.columns[: len(names)]
             if not len(hit):
-                yield pa.RecordBatch.from_arrays(arrays, names=inner.columns)
+                yield pa.RecordBatch.from_arrays(arrays, names=plain)
                 continue
             texts, keep = arrays[t].to_pylist(), np.ones(piece.num_rows, bool)
             sizes = arrays[chars].to_pylist() if chars is not None else None
@@ -311,6 +311,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[t] = pa.array(texts, arrays[t].type)
             if sizes is not None:
                 arrays[chars] = pa.array(sizes, arrays[chars].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=inner.columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(arrays, names=plain).filter(pa.array(keep))
 
     return joined.mapInArrow(run, inner.schema).toDF(*names)
