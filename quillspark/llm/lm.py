@@ -177,7 +177,7 @@ _SCORES = "n_bytes bigint, code_bits double, bits_per_byte double"
 
 
 def _summary(size: np.ndarray, bits: np.ndarray) -> dict:
-    bits = np.round(bits, 6)
+    bits = np.round(bits.astype(np.float64), 6)
     return {"n_bytes": pa.array(size), "code_bits": pa.array(bits), "bits_per_byte": pa.array(np.where(size > 0, bits / np.maximum(size, 1), 0.0), mask=size == 0)}
 
 

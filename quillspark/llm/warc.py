@@ -64,13 +64,12 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
         return bool(piece)
 
     while True:
-        while len(held) - at < 2:
-            if not more():
+        while True:  # blank lines between records
+            while len(held) - at < 2 and more():
+                pass
+            if held[at : at + 2] != b"\r\n":
                 break
-        while held[at : at + 2] == b"\r\n":  # blank lines between records
             at += 2
-            if len(held) - at < 2:
-                more()
         if len(held) == at:
             return
         look = 0
