@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import DimensionMismatch
 from quillspark.functions import vectors
+from quillspark.functions.bind import let
 from quillspark.functions.text import string_hash
 
 
@@ -22,8 +23,8 @@ class Embedder(Protocol):
 
 def hash_embedding(text: Column, dimensions: int = 64) -> Column:
     """sin(hash + i) / 2 for each component i, to length 1: the same text, the same vector."""
-    h = string_hash(text)
-    return vectors.normalise(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.sin((h + i).cast("double")) * 0.5))
+    raw = let(string_hash(text), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.sin((h + i).cast("double")) * 0.5))
+    return let(raw, vectors.normalise)
 
 
 def mean_pool(states: Column, tokens: int, width: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.bind import let
+
 BLOCK = 32
 FORMATS = ("fp32", "fp16", "int8", "int4")
 
@@ -21,12 +23,11 @@ def _round(x: Column) -> Column:
 
 def int8(v: Column) -> Column:
     """Components over the largest one, times 127, rounded; zeros for a zero vector."""
-    s = scale(v)
-    return F.transform(v, lambda x: F.when(s == 0, F.lit(0).cast("bigint")).otherwise(_round(x.cast("double") / s * 127)).cast("int"))
+    return let(scale(v), lambda s: F.transform(v, lambda x: F.when(s == 0, F.lit(0).cast("bigint")).otherwise(_round(x.cast("double") / s * 127)).cast("int")))
 
 
 def int8_back(q: Column, s: Column) -> Column:
-    return F.transform(q, lambda x: x.cast("double") * s / 127)
+    return let(s, lambda one: F.transform(q, lambda x: x.cast("double") * one / 127))
 
 
 def block_scales(v: Column, block: int = BLOCK) -> Column:
@@ -36,18 +37,24 @@ def block_scales(v: Column, block: int = BLOCK) -> Column:
 
 def int4(v: Column, block: int = BLOCK) -> Column:
     """Components from -7 to 7 over their block's largest."""
-    s = block_scales(v, block)
-    def one(x: Column, i: Column) -> Column:
-        b = F.element_at(s, (F.floor(i / block) + 1).cast("int"))
-        return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(7), F.greatest(F.lit(-7), _round(x.cast("double") / b * 7)))).cast("int")
-    return F.transform(v, one)
+    def all_by(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            b = F.element_at(s, (F.floor(i / block) + 1).cast("int"))
+            return F.when(b == 0, F.lit(0).cast("bigint")).otherwise(F.least(F.lit(7), F.greatest(F.lit(-7), _round(x.cast("double") / b * 7)))).cast("int")
+
+        return F.transform(v, one)
+
+    return let(block_scales(v, block), all_by)
 
 
 def int4_packed(q: Column) -> Column:
     """Two of int4() to a number from 0 to 255, the first one high."""
-    size = F.size(q)
-    pairs = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(2))
-    return F.transform(pairs, lambda i: F.shiftleft(F.element_at(q, i) + 7, 4) + F.when(i < size, F.element_at(q, F.least(i + 1, size)) + 7).otherwise(F.lit(0)))
+    def packed(codes: Column) -> Column:
+        size = F.size(codes)
+        pairs = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(2))
+        return F.transform(pairs, lambda i: F.shiftleft(F.element_at(codes, i) + 7, 4) + F.when(i < size, F.element_at(codes, F.least(i + 1, size)) + 7).otherwise(F.lit(0)))
+
+    return let(q, packed)
 
 
 def int4_unpacked(packed: Column, size: Column) -> Column:
@@ -56,7 +63,7 @@ def int4_unpacked(packed: Column, size: Column) -> Column:
 
 
 def int4_back(q: Column, scales: Column, block: int = BLOCK) -> Column:
-    return F.transform(q, lambda x, i: x.cast("double") * F.element_at(scales, (F.floor(i / block) + 1).cast("int")) / 7)
+    return let(scales, lambda s: F.transform(q, lambda x, i: x.cast("double") * F.element_at(s, (F.floor(i / block) + 1).cast("int")) / 7))
 
 
 def quantise(v: Column, form: str = "int8", block: int = BLOCK) -> Column:

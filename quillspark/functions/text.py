@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.errors import ESCAPES
+from quillspark.functions.bind import let
 
 STOPWORDS = sorted(
     "a an and are as at be been being but by did do does for from has have in is it its may must no not of on or "
@@ -106,7 +107,10 @@ def version_major(version: Column) -> Column:
 
 def word_windows(text: Column, size: int, overlap: int) -> Column:
     """Overlapping windows of words: structs of index and text."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda words: _windows(words, size, overlap))
+
+
+def _windows(words: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
     cut = F.transform(starts, lambda s, i: F.struct(i.alias("index"), F.array_join(F.slice(words, s + 1, size), " ").alias("text")))

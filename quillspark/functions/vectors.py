@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.bind import let
+
 METRICS = ("cosine", "dot", "euclidean")
 
 
@@ -47,8 +49,7 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """To length 1; an array without length stays as it is."""
-    length = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    return let(norm(a), lambda length: F.transform(a, lambda x: x.cast("double") / F.when(length == 0, F.lit(1.0)).otherwise(length)))
 
 
 def is_valid(a: Column, dimensions: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.errors import check_k
+from quillspark.functions.bind import let
 from quillspark.functions.text import tokenize
 from quillspark.operators import sparse
 
@@ -48,8 +49,7 @@ def lexical_rerank(hits: DataFrame, top_n: int | None = None, query_text: str =
     Only the first top_n of each query are ranked again; the others follow in
     their old order. overlap and new_rank are added.
     """
-    terms = F.array_distinct(tokenize(F.col(query_text)))
-    overlap = F.size(F.filter(tokenize(F.col(content)), lambda t: F.array_contains(terms, t)))
+    overlap = let(F.array_distinct(tokenize(F.col(query_text))), lambda terms: F.size(F.filter(tokenize(F.col(content)), lambda t: F.array_contains(terms, t))))
     head = F.lit(True) if top_n is None else F.col("rank") <= top_n
     marked = hits.withColumn("_head", head).withColumn("overlap", F.when(F.col("_head"), F.greatest(overlap, F.lit(0))))
     order = Window.partitionBy("query_id").orderBy(F.desc("_head"), F.desc_nulls_last("overlap"), F.when(F.col("_head"), -F.round("score", 9)), "rank")

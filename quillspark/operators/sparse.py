@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import check_k
 from quillspark.functions.text import tokenize
-from quillspark.session import small
+from quillspark.session import fits
 
 K1, B = 1.5, 0.75
 
@@ -45,17 +45,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col: str
     if k is not None:
         check_k(k)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    # the queries bound every side that follows from them; they are counted once
+    hint = F.broadcast if fits(asked) else (lambda df: df)
     terms = asked.select("term").distinct()
     words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
     each = words.select("id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
-    postings = each.join(small(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings = each.join(hint(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     df = document_frequency(postings)
     stats = words.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce("dl", F.lit(0))), F.lit(0.0)).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     tf = F.col("tf")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = postings.join(small(weights), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    found = postings.join(hint(weights), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -69,10 +71,13 @@ def bag_cosine(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col
     postings = tokens(docs, id_col, text_col)
     norms = postings.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = asked.join(postings.select("term").distinct(), "term", "left_semi")
+    hint = F.broadcast if fits(asked) else (lambda df: df)
+    # of the corpus only whether it has a query's term at all
+    held = postings.join(hint(asked.select("term").distinct()), "term")
+    asked = asked.join(held.select("term").distinct(), "term", "left_semi")
     length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = postings.join(small(asked), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    found = dots.join(norms, "id").join(small(length), "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
+    dots = held.join(hint(asked), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    found = dots.join(norms, "id").join(hint(length), "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -26,6 +26,12 @@ def create(app: str = "quillspark", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def fits(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df's counted rows take at most limit; the count stops there."""
+    most = limit // row_bytes
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df hinted for broadcast if its counted size is within limit; Spark chooses otherwise."""
-    return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
