@@ -28,7 +28,7 @@ from quillspark.llm.suffix import common_prefixes, runs, suffix_array
 
 MIN_WORDS, ANCHOR_WORDS = 50, 16
 SHARD_BYTES = 3 << 20
-ROWS_PER_BUCKET = 8000
+ROWS_PER_BUCKET = 2000
 _NULL = np.iinfo(np.int64).max
 _RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("hash", "<i8")])
