@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Iterator
@@ -37,6 +38,14 @@ class Profile:
     max_context_tokens: int = MAX_CONTEXT_TOKENS
     scope: tuple[str, object] | None = None
 
+    @classmethod
+    def from_json(cls, text: str) -> Profile:
+        """A profile from an object of the fields' names; unknown names are refused."""
+        given = json.loads(text)
+        if given.get("scope") is not None:
+            given["scope"] = tuple(given["scope"])
+        return cls(**given)
+
 
 class Provider(Protocol):
     """A language model."""

@@ -44,15 +44,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col: str
     """
     if k is not None:
         check_k(k)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = query_terms(queries, query_id, query_text)
     # the queries bound every side that follows from them; they are counted once
     hint = F.broadcast if fits(asked) else (lambda df: df)
     terms = asked.select("term").distinct()
     words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
     each = words.select("id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
     postings = each.join(hint(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = document_frequency(postings)
     stats = words.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce("dl", F.lit(0))), F.lit(0.0)).alias("avgdl"))
+    return rank(postings, document_frequency(postings), stats, asked, k, hint, k1, b)
+
+
+def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """query_id, term, qtf."""
+    each = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term"))
+    return each.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def rank(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k: int | None, hint, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, id, score, rank from postings (id, term, tf, dl), df (term, df), stats (n, avgdl, one row) and query_terms()."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")
     tf = F.col("tf")
@@ -70,7 +80,7 @@ def bag_cosine(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col
     """
     postings = tokens(docs, id_col, text_col)
     norms = postings.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = query_terms(queries, query_id, query_text)
     hint = F.broadcast if fits(asked) else (lambda df: df)
     # of the corpus only whether it has a query's term at all
     held = postings.join(hint(asked.select("term").distinct()), "term")

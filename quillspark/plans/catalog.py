@@ -14,7 +14,7 @@ from quillspark.functions import vectors as V
 from quillspark.functions.filters import Json, Typed, compile_filter, host_allowed, scoped
 from quillspark.operators import chunk, evaluation, fusion, rag, search, sparse
 from quillspark.plans import known
-from quillspark.sources import exchange
+from quillspark.sources import derived, exchange
 from quillspark.sources.collection import get_batch
 from quillspark.streaming import ingest
 
@@ -553,3 +553,27 @@ def trained_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     cells = search.train_cells(rows, 16)
     return search.cell_top_k(search.assign_cells(rows, cells), cells, first_vector(spark, sf_dir), 10, 6).select(F.col("id").alias("vec_id"), r6("score"))
+
+
+_BY_LABEL = "a as (select vec_id, embedding, arg_max(cell, round(list_cosine_similarity(embedding::double[], centroid), 12)) cell from embeddings, c group by all)"
+
+
+@register("r62_cells_on_disk", f"with q as (select arg_min(embedding, vec_id)::double[] v from embeddings), {CELLS}, {_BY_LABEL}, b as (select cell from c, q order by list_cosine_similarity(centroid, q.v) desc, cell limit 3), s as (select vec_id, {COS} score from a, q where cell in (select cell from b)) select vec_id, round(score, 6) score from s order by s.score desc, vec_id limit 10")
+def cells_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, path = vectors(spark, sf_dir), shared(spark)
+    derived.write_cells(rows.select("id", "vector"), search.centroids(rows, "label"), path)
+    return derived.search_cells(spark, path, first_vector(spark, sf_dir), 10, 3).select(F.col("id").alias("vec_id"), r6("score"))
+
+
+@register("r63_postings_on_disk", ORACLE_SQL["r25_bm25_topk"])
+def postings_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared(spark)
+    derived.write_postings(table(spark, sf_dir, "documents"), path, "doc_id", parts=16)
+    return _ranked(derived.search_postings(spark, path, questions(spark, sf_dir), 10))
+
+
+@register("r64_chunk_bm25")
+def chunk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages rather than documents: both lists name a chunk by one key."""
+    parts = chunk.chunk_documents(table(spark, sf_dir, "documents"), id_col="doc_id").select("chunk_id", F.col("chunk").alias("text"))
+    return _ranked(sparse.bm25(parts, questions(spark, sf_dir), 10, "chunk_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,21 @@ def fits(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> bo
 def small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df hinted for broadcast if its counted size is within limit; Spark chooses otherwise."""
     return F.broadcast(df) if fits(df, row_bytes, limit) else df
+
+
+class Latest:
+    """Runs one query at a time for a caller: a new one cancels the one before it, whose result nobody waits for."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tag = spark, ""
+
+    def run(self, action: Callable):
+        old, self.tag = self.tag, f"latest-{uuid.uuid4().hex}"
+        if old:
+            self.spark.interruptTag(old)
+        mine = self.tag
+        self.spark.addTag(mine)
+        try:
+            return action()
+        finally:
+            self.spark.removeTag(mine)

@@ -208,3 +208,41 @@ def test_tools(held):
         check_params({"b": 1}, {"properties": {}, "additionalProperties": False})
     with pytest.raises(errors.InvalidParams):
         check_params({"a": "z"}, {"properties": {"a": {"type": "string", "enum": ["x"]}}})
+
+
+def test_stored_indexes_open_few_folders(spark, tmp_path):
+    from quillspark.sources import derived
+
+    x = unit(200, 16)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
+    cells = search.train_cells(rows, 8)
+    derived.write_cells(rows, cells, f"{tmp_path}/v")
+    found = derived.search_cells(spark, f"{tmp_path}/v", x[3].tolist(), 5, 8)
+    assert [r["id"] for r in found.collect()] == [r["id"] for r in search.top_k(rows, x[3], 5).collect()]
+    plan = derived.search_cells(spark, f"{tmp_path}/v", x[3].tolist(), 5, 2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell#", "cell#")
+    docs = spark.createDataFrame(DOCS, "id string, text string")
+    derived.write_postings(docs, f"{tmp_path}/p", parts=16)
+    asked = spark.createDataFrame([(1, "indemnification")], "query_id int, query string")
+    got = derived.search_postings(spark, f"{tmp_path}/p", asked, 5)
+    assert [(r["id"], r["rank"]) for r in got.orderBy("rank").collect()] == [("d3", 1), ("d1", 2)]
+    assert "PartitionFilters: [part" in got._jdf.queryExecution().toString().replace("isnotnull(part#", "part#")
+
+
+def test_profile_and_latest(spark):
+    from quillspark.session import Latest
+
+    p = rag.Profile.from_json('{"top_k": 3, "hybrid": false, "scope": ["team", "red"]}')
+    assert p.top_k == 3 and not p.hybrid and p.scope == ("team", "red")
+    with pytest.raises(TypeError):
+        rag.Profile.from_json('{"other": 1}')
+    latest = Latest(spark)
+    assert latest.run(lambda: spark.range(5).count()) == 5 and latest.run(lambda: spark.range(6).count()) == 6
+
+
+def test_growing_frequencies(spark, tmp_path):
+    spark.createDataFrame(DOCS, "id string, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = ingest.term_counts(stream).writeStream.outputMode("complete").format("memory").queryName("df").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r["term"]: r["df"] for r in spark.table("df").collect()}["indemnification"] == 2
