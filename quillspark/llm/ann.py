@@ -186,7 +186,46 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _as_queries(graphs: DataFrame) -> DataFrame:
+    return graphs.select(F.col("points").alias("q_points"), F.col("ids").alias("q_ids"), F.col("none").alias("q_none"), F.col("hashes").alias("q_hashes"))
+
+
+def _laid(rows: DataFrame, dim: int, shards: int, shard_rows: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """rows with the cell of their nearest pivot and a shard of it; and blocks of queries for each of their nearest cells.
+
+    Pivots are the vectors that come first by hash: one for shard_rows rows. A
+    cell over shard_rows is several shards, which its queries all visit.
+    """
+    pivots = rows.orderBy(F.xxhash64("hash", "id"), "hash", "id").limit(shards).select("v").toArrow().column(0).combine_chunks()
+    pivots = _unit(pivots, dim)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(-(_unit(batch.column(1), dim) @ pivots.T), 1, kind="stable")[:, :probes].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * probes), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "hash", "cells"])
+
+    placed = cut(rows.select("id", "v", "hash").mapInArrow(route, "id bigint, v array<float>, hash bigint, cells array<int>").withColumn("cell", F.col("cells")[0]))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n"))
+    # shards of one cell are numbered after those of the cells before it
+    first = sizes.select("cell", "n", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).cast("int").alias("first"))
+    laid = placed.join(first, "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id", "hash"), F.col("n"))).cast("int")).select("id", "v", "hash", "cell", "shard")
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]) if len(cell) else np.zeros(1, int)
+            for a, b in zip(edge[:-1], edge[1:]):
+                part = batch.slice(a, b - a)
+                ids = part.column(1)
+                yield pa.RecordBatch.from_pydict({"q_cell": pa.array([cell[a]], pa.int32()), "q_points": [_unit(part.column(2), dim).tobytes()], "q_ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], "q_none": [np.asarray(ids.is_null()).tobytes()], "q_hashes": [part.column(3).to_numpy().tobytes()]})
+
+    each = placed.select(F.explode("cells").alias("q_cell"), "id", "v", "hash").repartition(F.col("q_cell")).sortWithinPartitions("q_cell")
+    return laid, each.mapInArrow(block, "q_cell int, q_points binary, q_ids binary, q_none binary, q_hashes binary")
+
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, probes: int | None = None) -> DataFrame:
     """id, rank (1 to k), neighbor_id, score (cosine) for every vector as a query; the vector itself is not its neighbour.
 
     Ties go by neighbor_id, null last. Vectors that are null, hold a null or a
@@ -195,6 +234,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     neighbour. Repeated rows (same id and vector) are one; equal vectors under
     two ids are neighbours, and so are two vectors of one id. Fewer than k + 1
     vectors give fewer ranks. Other columns are not read.
+
+    Every query visits every shard. With probes, vectors are laid by the nearest
+    of as many pivots as there are shards, and a query visits those of its
+    nearest `probes` pivots alone: work in proportion to the rows, and a recall
+    that depends on how much the vectors cluster.
     """
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
@@ -202,23 +246,30 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dim = dims["d"] if dims else 1
     rows = cut(rows.where(F.size("v") == dim).withColumn("hash", F.xxhash64("v")).dropDuplicates(["id", "hash"]))
     shards = max(1, -(-rows.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).cast("int"))
+    routed = probes is not None and probes < shards
+    if routed:
+        rows, asked = _laid(rows, dim, shards, shard_rows, probes)
+    else:
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).cast("int")).withColumn("cell", F.lit(0))
 
     def graph(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("hash", "ascending"), ("id", "ascending")])
         points = _unit(group.column("v").combine_chunks(), dim)
         links, starts = build(points, degree, BUILD_BEAM, alpha)
         ids = group.column("id")
-        return pa.table({"shard": group.column("shard").slice(0, 1), "points": [points.tobytes()], "ids": [ids.fill_null(0).to_numpy().tobytes()], "none": [np.asarray(ids.is_null()).tobytes()], "hashes": [group.column("hash").to_numpy().tobytes()], "links": [links.tobytes()], "starts": [starts.astype(np.int64).tobytes()]})
+        return pa.table({"shard": group.column("shard").slice(0, 1), "cell": group.column("cell").slice(0, 1), "points": [points.tobytes()], "ids": [ids.fill_null(0).to_numpy().tobytes()], "none": [np.asarray(ids.is_null()).tobytes()], "hashes": [group.column("hash").to_numpy().tobytes()], "links": [links.tobytes()], "starts": [starts.astype(np.int64).tobytes()]})
 
-    graphs = cut(rows.groupBy("shard").applyInArrow(graph, "shard int, points binary, ids binary, none binary, hashes binary, links binary, starts binary"))
-    blocks = graphs.select(F.col("points").alias("q_points"), F.col("ids").alias("q_ids"), F.col("none").alias("q_none"), F.col("hashes").alias("q_hashes"))
-    pairs = graphs.repartition(shards).crossJoin(blocks.repartition(shards))
+    graphs = cut(rows.groupBy("shard").applyInArrow(graph, "shard int, cell int, points binary, ids binary, none binary, hashes binary, links binary, starts binary"))
+    if routed:
+        pairs = graphs.join(asked, F.col("cell") == F.col("q_cell")).drop("q_cell")
+    else:
+        pairs = graphs.repartition(shards).crossJoin(_as_queries(graphs).repartition(shards))
+    pairs = pairs.drop("shard", "cell")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = {name: batch.column(name)[row].as_buffer() for name in batch.schema.names if name != "shard"}
+                raw = {name: batch.column(name)[row].as_buffer() for name in batch.schema.names}
                 points, queries = (np.frombuffer(raw[x], np.float32).reshape(-1, dim) for x in ("points", "q_points"))
                 ids, hashes, q_ids, q_hashes, starts = (np.frombuffer(raw[x], np.int64) for x in ("ids", "hashes", "q_ids", "q_hashes", "starts"))
                 none, q_none = (np.frombuffer(raw[x], bool) for x in ("none", "q_none"))

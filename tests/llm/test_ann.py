@@ -41,18 +41,18 @@ def test_recall_in_one_shard():
     assert np.minimum(hits, 10).mean() >= 9.5
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 150])
-def test_recall_over_shards(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, probes", [(10_000, None), (150, None), (150, 3), (150, 4)])
+def test_recall_over_shards(spark, shard_rows, probes):
     x = data(600)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     got = {}
-    for r in ann.nearest(rows, shard_rows=shard_rows).collect():
+    for r in ann.nearest(rows, shard_rows=shard_rows, probes=probes).collect():
         got.setdefault(r["vec_id"], {})[r["rank"]] = (r["neighbor_id"], r["score"])
     kth, s = truth(x, 10)
     assert set(got) == set(range(600)) and all(sorted(g) == list(range(1, 11)) for g in got.values())
     assert all(n != i and abs(score - s[i, n]) < 1e-5 for i, g in got.items() for n, score in g.values())
     recall = np.mean([sum(s[i, n] >= kth[i] - 1e-6 for n, _ in g.values()) / 10 for i, g in got.items()])
-    assert recall >= 0.9
+    assert recall >= (0.8 if probes == 3 else 0.9)
 
 
 def test_edges(spark):
