@@ -14,6 +14,7 @@ from quillspark.functions import vectors as V
 from quillspark.functions.filters import Json, Typed, compile_filter, host_allowed, scoped
 from quillspark.operators import chunk, evaluation, fusion, rag, search, sparse
 from quillspark.plans import known
+from quillspark.session import shared_folder
 from quillspark.sources import derived, exchange
 from quillspark.sources.collection import get_batch
 from quillspark.streaming import ingest
@@ -39,10 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession) -> str:
     """A new folder below the one that all executors share."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/quillspark"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +31,21 @@ def create(app: str = "quillspark", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from the session; one is set only where none is."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{os.path.join(tempfile.gettempdir(), 'quillspark')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def fits(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df's counted rows take at most limit; the count stops there."""
     most = limit // row_bytes

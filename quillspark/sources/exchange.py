@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.errors import ImportFailed
+from quillspark.session import cut
 
 VERSION = "1.0.0"
 ENTRY = "struct<id:string,vector:array<float>,metadata:string,timestamp:bigint>"
@@ -17,9 +18,10 @@ ENTRY = "struct<id:string,vector:array<float>,metadata:string,timestamp:bigint>"
 def numbered(rows: DataFrame, chunk: int, id_col: str = "id") -> DataFrame:
     """rows with chunk_id: runs of `chunk` rows by id, numbered from 0 without gathering them in one task.
 
-    Rows are sorted by range into partitions, counted, and numbered within.
+    Rows are sorted by range into partitions, counted, and numbered within. The
+    ranges are kept: drawn again for the count they could differ.
     """
-    parts = rows.repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col).withColumn("_part", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(F.col(id_col)).withColumn("_part", F.spark_partition_id()))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(id_col)) - 1
     counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
     # one row for each partition
