@@ -1,10 +1,11 @@
 """Approximate nearest neighbours of every vector, from robust-pruned directed graphs.
 
-Each shard of vectors gets a graph: points come in batches, a greedy beam search
-over the graph so far proposes neighbours, and relaxed pruning keeps those that
-no kept one is much closer to; edges back are pruned alike. Every vector then is
-a query that a beam search takes through each shard, and the best of all shards
-are its neighbours. Searches run for many queries at a time in numpy.
+Each shard of vectors gets a graph over its distinct directions: points come in
+batches, a greedy beam search over the graph so far proposes neighbours, and
+relaxed pruning keeps those that no kept one is much closer to; edges back are
+pruned alike. Every direction then is a query that a beam search takes through
+each shard, the points it meets stand for all their rows, and the best of all
+shards are the neighbours. Searches run for many queries at a time in numpy.
 """
 
 from __future__ import annotations
@@ -183,27 +184,73 @@ def search(points: np.ndarray, links: np.ndarray, starts: np.ndarray, queries: n
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     x = np.asarray(column.flatten(), np.float32).reshape(-1, dim).astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # no -0.0, so that equal vectors are equal bytes
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)
+
+
+def distinct(points: np.ndarray, ids: np.ndarray, none: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct points in the order they come, all rows by point and then as ties go, and the first row of each point (one more at the end)."""
+    _, first, own = np.unique(np.ascontiguousarray(points).view(np.dtype((np.void, points.shape[1] * points.itemsize))).ravel(), return_index=True, return_inverse=True)
+    place = np.empty(len(first), np.int64)
+    place[np.argsort(first)] = np.arange(len(first))
+    own = place[own]
+    return points[np.sort(first)], np.lexsort((hashes, ids, none, own)), np.append(0, np.cumsum(np.bincount(own, minlength=len(first))))
+
+
+def best_rows(points: np.ndarray, heads: np.ndarray, ties: tuple[np.ndarray, ...], queries: np.ndarray, found: np.ndarray, far: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query the `most` best rows (-1: none) of the points it met, and their scores; equal scores go by ties, the last key first.
+
+    A point of the most-th distance or nearer is needed, and of a point no more
+    than its first `most` rows. Scores are computed anew, the same for equal
+    vectors wherever they lie.
+    """
+    reach = far[:, min(most, far.shape[1]) - 1]
+    r, c = np.nonzero((found >= 0) & (far <= reach[:, None] + np.float32(1e-6)))
+    p = found[r, c]
+    score = np.einsum("ij,ij->i", queries[r].astype(np.float64), points[p].astype(np.float64)).astype(np.float32)
+    n = np.minimum(heads[p + 1] - heads[p], most)
+    row = np.repeat(heads[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    r, score = np.repeat(r, n), np.repeat(score, n)
+    turn = np.lexsort((*(t[row] for t in ties), -score, r))
+    r, row, score = r[turn], row[turn], score[turn]
+    count = np.bincount(r, minlength=len(queries))
+    rank = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+    keep = rank < most
+    out = np.full((len(queries), most), -1, np.int64)
+    scores = np.zeros((len(queries), most), np.float32)
+    out[r[keep], rank[keep]], scores[r[keep], rank[keep]] = row[keep], score[keep]
+    return out, scores
+
+
+def _packed(points: np.ndarray, ids: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, dict[str, bytes]]:
+    """distinct() of the rows, and all of it as bytes."""
+    none = np.asarray(ids.is_null())
+    ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+    points, turn, heads = distinct(points, ids, none, hashes)
+    return points, {"points": points.tobytes(), "heads": heads.astype(np.int64).tobytes(), "ids": ids[turn].tobytes(), "none": none[turn].tobytes(), "hashes": hashes[turn].tobytes()}
+
+
+_PACKED = ("points", "heads", "ids", "none", "hashes")
 
 
 def _as_queries(graphs: DataFrame) -> DataFrame:
-    return graphs.select(F.col("points").alias("q_points"), F.col("ids").alias("q_ids"), F.col("none").alias("q_none"), F.col("hashes").alias("q_hashes"))
+    return graphs.select(*(F.col(x).alias(f"q_{x}") for x in _PACKED))
 
 
 def _laid(rows: DataFrame, dim: int, shards: int, shard_rows: int, probes: int) -> tuple[DataFrame, DataFrame]:
     """rows with the cell of their nearest pivot and a shard of it; and blocks of queries for each of their nearest cells.
 
-    Pivots are the vectors that come first by hash: one for shard_rows rows. A
-    cell over shard_rows is several shards, which its queries all visit.
+    Pivots are the distinct vectors that come first by hash: one for shard_rows
+    rows. A cell over shard_rows is several shards, which its queries all visit.
     """
-    pivots = rows.orderBy(F.xxhash64("hash", "id"), "hash", "id").limit(shards).select("v").toArrow().column(0).combine_chunks()
+    pivots = rows.groupBy("hash").agg(F.min("id").alias("id"), F.first("v").alias("v")).orderBy(F.xxhash64("hash", "id"), "hash", "id").limit(shards).select("v").toArrow().column(0).combine_chunks()
     pivots = _unit(pivots, dim)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 near = np.argsort(-(_unit(batch.column(1), dim) @ pivots.T), 1, kind="stable")[:, :probes].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * probes), pa.array(near.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "v", "hash", "cells"])
 
     placed = cut(rows.select("id", "v", "hash").mapInArrow(route, "id bigint, v array<float>, hash bigint, cells array<int>").withColumn("cell", F.col("cells")[0]))
@@ -218,11 +265,11 @@ def _laid(rows: DataFrame, dim: int, shards: int, shard_rows: int, probes: int)
             edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]) if len(cell) else np.zeros(1, int)
             for a, b in zip(edge[:-1], edge[1:]):
                 part = batch.slice(a, b - a)
-                ids = part.column(1)
-                yield pa.RecordBatch.from_pydict({"q_cell": pa.array([cell[a]], pa.int32()), "q_points": [_unit(part.column(2), dim).tobytes()], "q_ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], "q_none": [np.asarray(ids.is_null()).tobytes()], "q_hashes": [part.column(3).to_numpy().tobytes()]})
+                _, packed = _packed(_unit(part.column(2), dim), part.column(1), part.column(3).to_numpy())
+                yield pa.RecordBatch.from_pydict({"q_cell": pa.array([cell[a]], pa.int32()), **{f"q_{x}": [packed[x]] for x in _PACKED}})
 
     each = placed.select(F.explode("cells").alias("q_cell"), "id", "v", "hash").repartition(F.col("q_cell")).sortWithinPartitions("q_cell")
-    return laid, each.mapInArrow(block, "q_cell int, q_points binary, q_ids binary, q_none binary, q_hashes binary")
+    return laid, each.mapInArrow(block, "q_cell int, " + ", ".join(f"q_{x} binary" for x in _PACKED))
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, probes: int | None = None) -> DataFrame:
@@ -254,12 +301,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     def graph(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("hash", "ascending"), ("id", "ascending")])
-        points = _unit(group.column("v").combine_chunks(), dim)
+        points, packed = _packed(_unit(group.column("v").combine_chunks(), dim), group.column("id").combine_chunks(), group.column("hash").to_numpy())
         links, starts = build(points, degree, BUILD_BEAM, alpha)
-        ids = group.column("id")
-        return pa.table({"shard": group.column("shard").slice(0, 1), "cell": group.column("cell").slice(0, 1), "points": [points.tobytes()], "ids": [ids.fill_null(0).to_numpy().tobytes()], "none": [np.asarray(ids.is_null()).tobytes()], "hashes": [group.column("hash").to_numpy().tobytes()], "links": [links.tobytes()], "starts": [starts.astype(np.int64).tobytes()]})
+        return pa.table({"shard": group.column("shard").slice(0, 1), "cell": group.column("cell").slice(0, 1), **{x: [packed[x]] for x in _PACKED}, "links": [links.tobytes()], "starts": [starts.astype(np.int64).tobytes()]})
 
-    graphs = cut(rows.groupBy("shard").applyInArrow(graph, "shard int, cell int, points binary, ids binary, none binary, hashes binary, links binary, starts binary"))
+    graphs = cut(rows.groupBy("shard").applyInArrow(graph, "shard int, cell int, " + ", ".join(f"{x} binary" for x in (*_PACKED, "links", "starts"))))
     if routed:
         pairs = graphs.join(asked, F.col("cell") == F.col("q_cell")).drop("q_cell")
     else:
@@ -271,18 +317,22 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for row in range(batch.num_rows):
                 raw = {name: batch.column(name)[row].as_buffer() for name in batch.schema.names}
                 points, queries = (np.frombuffer(raw[x], np.float32).reshape(-1, dim) for x in ("points", "q_points"))
-                ids, hashes, q_ids, q_hashes, starts = (np.frombuffer(raw[x], np.int64) for x in ("ids", "hashes", "q_ids", "q_hashes", "starts"))
+                ids, hashes, heads, q_ids, q_hashes, q_heads, starts = (np.frombuffer(raw[x], np.int64) for x in ("ids", "hashes", "heads", "q_ids", "q_hashes", "q_heads", "starts"))
                 none, q_none = (np.frombuffer(raw[x], bool) for x in ("none", "q_none"))
                 links = np.frombuffer(raw["links"], np.int32).reshape(-1, degree)
                 for a in range(0, len(queries), 4 * BATCH):
-                    found, far = search(points, links, starts, queries[a : a + 4 * BATCH], beam)
-                    q = np.arange(a, a + len(found))
+                    some = queries[a : a + 4 * BATCH]
+                    # one more, as a row isn't its own neighbour
+                    best, score = best_rows(points, heads, (hashes, ids, none), some, *search(points, links, starts, some, beam), k + 1)
+                    q = np.arange(q_heads[a], q_heads[a + len(some)])
+                    own = np.repeat(np.arange(len(some)), np.diff(q_heads[a : a + len(some) + 1]))
+                    found = best[own]
                     same = (ids[found] == q_ids[q][:, None]) & (hashes[found] == q_hashes[q][:, None]) & (none[found] == q_none[q][:, None])
                     ok = (found >= 0) & ~same
                     ok &= np.cumsum(ok, 1) <= k
                     r, c = np.nonzero(ok)
                     hit = found[r, c]
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[r]], mask=q_none[q[r]]), pa.array(q_hashes[q[r]]), pa.array(ids[hit], mask=none[hit]), pa.array(hashes[hit]), pa.array((1 - far[r, c]).astype(np.float64))], names=["id", "hash", "neighbor_id", "neighbor_hash", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[q[r]], mask=q_none[q[r]]), pa.array(q_hashes[q[r]]), pa.array(ids[hit], mask=none[hit]), pa.array(hashes[hit]), pa.array(score[own[r], c].astype(np.float64))], names=["id", "hash", "neighbor_id", "neighbor_hash", "score"])
 
     found = pairs.mapInArrow(ask, "id bigint, hash bigint, neighbor_id bigint, neighbor_hash bigint, score double")
     best = Window.partitionBy("id", "hash").orderBy(F.desc("score"), F.asc_nulls_last("neighbor_id"), "neighbor_hash")

@@ -55,6 +55,29 @@ def test_recall_over_shards(spark, shard_rows, probes):
     assert recall >= (0.8 if probes == 3 else 0.9)
 
 
+@pytest.mark.parametrize("shard_rows, probes", [(10_000, None), (300, None), (300, 2)])
+def test_equal_vectors_are_neighbours(spark, shard_rows, probes):
+    x, copies = data(400, 64, 2), [12, 40, 300]
+    who = np.concatenate([np.arange(400), *(np.full(g - 1, i) for i, g in enumerate(copies))])
+    order = np.random.default_rng(8).permutation(len(who))
+    # copies of another length are equal by cosine
+    rows = [(i, (x[w] * (2 if i % 5 == 0 else 1)).tolist()) for i, w in enumerate(who[order].tolist())]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), shard_rows=shard_rows, probes=probes).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbor_id"]
+    right = []
+    for w, g in enumerate(copies):
+        own = np.flatnonzero(who[order] == w).tolist()
+        assert len(own) == g
+        right += [[got[i][r] for r in range(1, 11)] == [j for j in own if j != i][:10] for i in own]
+    assert np.mean(right) >= 0.99
+    s = x[who[order]].astype(np.float64) @ x[who[order]].T.astype(np.float64)
+    np.fill_diagonal(s, -9)
+    kth = -np.sort(-s, 1)[:, 9]
+    recall = np.mean([np.mean([s[i, n] >= kth[i] - 1e-6 for n in g.values()]) for i, g in got.items()])
+    assert len(got) == len(rows) and recall >= (0.9 if probes is None else 0.8)
+
+
 def test_edges(spark):
     rows = [(1, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (2, [1.0, 0.0], "y"), (3, [0.0, 1.0], "z"), (None, [1.0, 1.0], None), (4, None, ""), (5, [0.0, 0.0], ""), (6, [1.0, float("nan")], ""), (7, [1.0, None], ""), (8, [1.0, 2.0, 3.0], ""), (3, [2.0, 1.0], "w")]
     docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string")
