@@ -7,11 +7,13 @@ redundant.
 
 1. Each shard of a few MB sorts its suffixes by words (Larsson-Sadakane) and
    takes Kasai's common prefixes: windows that repeat inside the shard.
-2. Of each window its first occurrence in the shard goes to a bucket, 32 bits
-   of its hash each. Runs of windows go together under their least anchor hash
-   (of anchor_words words), so equal windows meet in one bucket, and a run
-   costs one header.
-3. A bucket merges the sorted runs of all shards by binary search.
+2. Of each window its first occurrence in the shard goes to a bucket, as the 64
+   bits of its hash. Runs of windows go together to the bucket of their least
+   anchor hash (of anchor_words words), so equal windows meet in one bucket, and
+   a run costs one header.
+3. A bucket merges the sorted runs of all shards by binary search. Windows of
+   two shards are equal if their 64 bits are: of m different windows in a bucket
+   some m^2 / 2^65 pairs agree by chance.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ MIN_WORDS, ANCHOR_WORDS = 50, 16
 SHARD_BYTES = 3 << 20
 ROWS_PER_BUCKET = 2000
 _NULL = np.iinfo(np.int64).max
-_RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
+_RUN = np.dtype([("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("hash", "<i8")])
 _SPAN = "id bigint, hash bigint, at bigint, n bigint, redundant boolean"
 
@@ -109,7 +111,7 @@ def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray,
 
     values = np.zeros(n, np.uint64)
     values[is_word] = words
-    prints = rolling(values, w).astype(np.uint32)
+    prints = rolling(values, w)
     anchors = least_of(rolling(values, k), w - k + 1)
     sent = np.flatnonzero(window)
     if not len(sent):
@@ -118,10 +120,10 @@ def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray,
     new[1:] = (sent[1:] != sent[:-1] + 1) | (anchors[sent[1:]] != anchors[sent[:-1]])
     head = np.flatnonzero(new)
     run = np.empty(len(head), _RUN)
-    run["anchor"], run["doc"], run["at"] = anchors[sent[head]], owner[sent[head]], position[sent[head]]
+    run["doc"], run["at"] = owner[sent[head]], position[sent[head]]
     run["n"] = np.diff(np.append(head, len(sent)))
     # least values are not uniform: mixed again for the choice of a bucket
-    bucket = (mix(run["anchor"]) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mix(anchors[sent[head]]) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     run, bucket, head = run[by], bucket[by], head[by]
     size = run["n"].astype(np.int64)
@@ -148,16 +150,14 @@ def merge(blobs: list[bytes]) -> dict:
         docs.append(np.frombuffer(blob, _DOC, n_docs, at))
         at += n_docs * _DOC.itemsize
         run = np.frombuffer(blob, _RUN, n_runs, at)
-        prints = np.frombuffer(blob, "<u4", offset=int(at + n_runs * _RUN.itemsize))
+        keys.append(np.frombuffer(blob, "<u8", offset=int(at + n_runs * _RUN.itemsize)))
         size = run["n"].astype(np.int64)
         begin = np.cumsum(size) - size
-        keys.append(mix(np.repeat(run["anchor"], size) + prints.astype(np.uint64)))
         owners.append(np.repeat(run["doc"].astype(np.int64) + base, size))
         places.append(np.repeat(run["at"].astype(np.int64) - begin, size) + np.arange(int(size.sum())))
         base += int(n_docs)
     doc = np.concatenate(docs)
     # the sorted run of each shard is searched in the merger of all
-    keys = [np.asarray(x) for x in keys]
     merged = np.sort(np.concatenate(keys))
     repeated = merged[1:][merged[1:] == merged[:-1]]
     repeated = repeated[np.concatenate([[True], repeated[1:] != repeated[:-1]])] if len(repeated) else repeated

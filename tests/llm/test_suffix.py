@@ -104,6 +104,32 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
     assert got == {x for x in brute_passages(docs, 8)}
 
 
+def test_windows_of_different_words_are_not_equal():
+    # among some 360,000 windows of one anchor there are pairs whose last 32 bits of hash agree
+    vocabulary = [f"v{i}" for i in range(600)]
+
+    def packed(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return buf, np.array([0, len(buf)])
+
+    buf, offs = packed(" ".join(vocabulary))
+    starts, ends, _ = suffix_dedup.spans(buf, offs, suffix_dedup.NOT_SPACE)
+    words = suffix_dedup.hashes(buf, starts, ends)
+    least = int(suffix_dedup.rolling(words, 1).argmin())
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(600), np.arange(600)))
+    low = suffix_dedup.rolling(words[np.stack([np.full(len(a), least), a, b], 1)].ravel(), 3)[::3].astype(np.uint32)
+    turn = np.argsort(low)
+    same = np.flatnonzero(low[turn][1:] == low[turn][:-1])
+    assert len(same)
+    for i in same[:5]:
+        blobs = []
+        for doc, j in enumerate((turn[i], turn[i + 1])):
+            text = " ".join(vocabulary[x] for x in (least, a[j], b[j]))
+            blobs += suffix_dedup.shard(np.array([doc]), np.array([doc]), *packed(text), 3, 1, 1)[1]
+        assert len(blobs) == 2 and not len(suffix_dedup.merge([x for _, x in blobs])["id"])
+        assert len(suffix_dedup.merge([blobs[0][1], suffix_dedup.shard(np.array([9]), np.array([9]), *packed(" ".join(vocabulary[x] for x in (least, a[turn[i]], b[turn[i]]))), 3, 1, 1)[1][0][1]])["id"]) == 2
+
+
 def test_cut_keeps_each_passage_once(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"start one {passage} end one", 7, "a"), (2, f"start two {passage}\nlast two", 7, "b"), (3, passage, 7, None), (4, None, 7, "d"), (5, "", None, "e"), (None, "free text", 9, "f"), (2, f"start two {passage}\nlast two", 7, "b")]
