@@ -52,5 +52,21 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_each_stage_reads_what_the_last_one_wrote(spark, tmp_path, monkeypatch):
+    write(spark, tmp_path, [(i, f"text {i}", "en", "src", 6) for i in range(5)], [(0, 1, 0)])
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.where(f"doc_id <> {len(read)}")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    last = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert sorted(r["doc_id"] for r in last.collect()) == [0, 3, 4]
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:").rstrip("/").replace("//", "/")
+    for files, name in ((read[1], "0_one"), (last.inputFiles(), "1_two")):
+        assert files and all(shared in f and f"/{name}/" in f for f in files)
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
