@@ -2,9 +2,11 @@
 
 Each partition packs its documents by best-fit decreasing and compares the
 number of bins with a bound from dual feasible functions. Partitions above
-their bound exchange the documents of their bins that aren't full, and pack
-again, full bins' documents staying in their partition; a round that doesn't
-lower the total is undone.
+their bound exchange the documents of their bins that aren't full (a lone one
+with a certified partition, another each round), and pack again, full bins'
+documents staying in their partition; a round that doesn't lower the total is
+undone. That ends when every partition is certified, nothing is left to
+exchange with, or ROUNDS rounds in a row were undone.
 """
 
 from __future__ import annotations
@@ -111,7 +113,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
     part and bin name it; doc_ids, start_tokens and sizes list what it holds, by
     falling size; n_tokens is their sum; part_bins is the number of bins of its
     partition and part_bound a number that no packing of the same pieces can go
-    below (equal: certified optimal). A document over capacity is cut into
+    below (equal: certified optimal; more bins than that: uncertified). rounds is
+    the number of fruitless rounds of exchange in a row that end it. A document over capacity is cut into
     pieces of capacity, which fill a bin each, and a rest. Null lengths, and
     those of 0 or less, are in no bin; repeated rows are packed each; null ids
     stay null.
@@ -124,20 +127,32 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
     items = rows.select("part", "id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(capacity).cast("bigint"))).alias("start")).select("part", "id", "start", size.alias("size"))
     bins = cut(items.groupBy("part").applyInArrow(_pack(capacity), _BIN))
     spark = lengths.sparkSession
-    for turn in range(rounds):
+    turn = idle = 0
+    while idle < rounds:
         gaps = [r["part"] for r in bins.where("part_bins > part_bound").select("part").distinct().orderBy("part").collect()]
+        chosen = F.col("part_bins") > F.col("part_bound")
+        if len(gaps) == 1:
+            others = [r["part"] for r in bins.where("part_bins = part_bound").select("part").distinct().orderBy("part").collect()]
+            if others:
+                gaps.append(others[turn % len(others)])
+                chosen |= F.col("part") == gaps[1]
         if len(gaps) < 2:
             break
         names = spark.createDataFrame(list(enumerate(gaps)), "turn bigint, to bigint")
         names = F.broadcast(names) if len(gaps) * 16 <= BROADCAST_BYTES else names
-        before = bins.where("part_bins > part_bound")
+        before = bins.where(chosen)
         held = before.select("part", (F.col("n_tokens") < capacity).alias("loose"), F.explode(F.arrays_zip("doc_ids", "start_tokens", "sizes")).alias("x"))
         held = held.select("part", "loose", F.col("x.doc_ids").alias("id"), F.col("x.start_tokens").alias("start"), F.col("x.sizes").alias("size"))
         held = held.withColumn("turn", F.pmod(F.xxhash64("id", "start", "size", F.lit(turn)), F.lit(len(gaps)))).join(names, "turn")
         held = held.select(F.when(F.col("loose"), F.col("to")).otherwise(F.col("part")).alias("part"), "id", "start", "size")
         after = cut(held.groupBy("part").applyInArrow(_pack(capacity), _BIN))
+        turn += 1
         if after.count() < before.count():
-            bins = bins.where("part_bins = part_bound").unionByName(after)
+            idle, bins = 0, bins.where(~chosen).unionByName(after)
+            # the plan stays short
+            bins = bins if turn % 8 else cut(bins)
+        else:
+            idle += 1
     return bins
 
 

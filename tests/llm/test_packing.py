@@ -84,6 +84,17 @@ def test_exchange_never_adds_bins(spark):
     check(packing.pack(rows, 100, per_partition=15).collect(), {r["id"]: r["n_tokens"] for r in rows.collect()}, 100)
 
 
+def test_a_lone_gap_partition_exchanges_too(spark):
+    rng = random.Random(0)
+    lengths = {i: rng.randint(20, 60) for i in range(60)}
+    rows = spark.createDataFrame(list(lengths.items()), "id bigint, n_tokens bigint")
+    alone = packing.pack(rows, 100, rounds=0, per_partition=30).collect()
+    assert len({r["part"] for r in alone}) == 2 and len({r["part"] for r in alone if r["part_bins"] > r["part_bound"]}) == 1
+    got = packing.pack(rows, 100, per_partition=30).collect()
+    check(got, lengths, 100)
+    assert len(got) < len(alone) and all(r["part_bins"] == r["part_bound"] for r in got)
+
+
 def test_documents_and_edges(spark):
     docs = spark.createDataFrame([(1, "a b c", 9), (2, None, 9), (3, " \n", 9), (None, "d e", 9), (1, "a b c", 9), (4, "w " * 5000, 9)], "doc_id bigint, text string, bin int")
     got = packing.pack_documents(docs, capacity=4).collect()
