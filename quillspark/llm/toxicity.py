@@ -166,16 +166,19 @@ def judge(model: Model, at: list[int], weight: list[float], tokens: int, alpha:
     """Significant segments, the best score, and the document's chance: that of its best r segments, over all r.
 
     The sum of r normalised scores has the tail x^(r-1) exp(-x) / (r! (r-1)!);
-    r is paid for with a factor of 2^r, as the sum statistics are.
+    r is paid for with a factor of 2^r, as the sum statistics are. That tail holds
+    where the sum is over r - 1; once it isn't, no further r has such a sum, since
+    scores fall.
     """
     every = sorted(segments(at, weight, model.drift), key=lambda s: (-s[2], s[0]))
     base = math.log(max(model.scale * model.drift * tokens, 1e-300))
     chance, total = 1.0, 0.0
-    for r, (_, _, s) in enumerate(every[:100], 1):
+    for r, (_, _, s) in enumerate(every, 1):
         total += model.scale * s - base
+        if total <= r - 1:
+            break
         tail = -total if r == 1 else -total + (r - 1) * math.log(max(total, 1e-9)) - math.lgamma(r + 1) - math.lgamma(r)
-        if total > r - 1:
-            chance = min(chance, -math.expm1(-math.exp(min(tail + r * math.log(2), 50.0))))
+        chance = min(chance, -math.expm1(-math.exp(min(tail + r * math.log(2), 50.0))))
     real = [s for s in every if model.expected(s[2], tokens) <= alpha]
     return sorted(real), every[0][2] if every else 0.0, chance
 

@@ -1,5 +1,6 @@
 """Segments against brute force, and what is called toxic."""
 
+import math
 import random
 
 import numpy as np
@@ -64,6 +65,20 @@ def test_chance_of_clean_text_is_kept():
     assert bad / 4000 <= 0.015
 
 
+@pytest.mark.parametrize("n", [3, 101, 180])
+def test_chance_is_the_least_over_all_segments(n):
+    # segments of like scores, which each add to the evidence: the least chance is that of all of them
+    model = T.Model(np.zeros(1, np.uint64), np.ones(1), 0.25, 1.0)
+    gap, weight = 60, 10.0
+    tokens = n * gap
+    x = weight - math.log(0.25 * tokens)
+    tails = [-r * x + (r - 1) * math.log(r * x) - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2) for r in range(1, n + 1) if r * x > r - 1]
+    want = -math.expm1(-math.exp(min(tails)))
+    assert 0 < x and min(tails) == tails[-1] and len(tails) == n
+    got = T.judge(model, [i * gap for i in range(n)], [weight] * n, tokens)
+    assert got[2] == pytest.approx(want, rel=1e-6, abs=0) and got[2] > 0
+
+
 def docs(spark, n=400, seed=1):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
