@@ -3,9 +3,10 @@
 Each shard of vectors gets a graph over its distinct directions: points come in
 batches, a greedy beam search over the graph so far proposes neighbours, and
 relaxed pruning keeps those that no kept one is much closer to; edges back are
-pruned alike. Every direction then is a query that a beam search takes through
-each shard, the points it meets stand for all their rows, and the best of all
-shards are the neighbours. Searches run for many queries at a time in numpy.
+pruned alike. The distinct directions of the query set then are taken by beam
+search through each shard, in blocks; the points they meet stand for all their
+rows, and the best of all shards are the neighbours. Searches run for many
+queries at a time in numpy.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quillspark.llm.frames import cut
 K, DEGREE, BUILD_BEAM, BEAM, ALPHA = 10, 32, 48, 64, 1.2
 SHARD_ROWS = 8192
 BATCH, WIDTH, STARTS = 512, 4, 128
+#: The query set of the registered query: the rows whose id it divides, against all rows.
+QUERY_EVERY = 50
 _FAR = np.float32(9.0)
 
 
@@ -233,12 +236,19 @@ def _packed(points: np.ndarray, ids: pa.Array, hashes: np.ndarray) -> tuple[np.n
 _PACKED = ("points", "heads", "ids", "none", "hashes")
 
 
-def _as_queries(graphs: DataFrame) -> DataFrame:
-    return graphs.select(*(F.col(x).alias(f"q_{x}") for x in _PACKED))
+def _blocks(asked: DataFrame, by: str, dim: int) -> DataFrame:
+    """The rows of asked (id, v, hash) packed as queries, a block for each value of `by`."""
+
+    def block(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        _, packed = _packed(_unit(group.column("v").combine_chunks(), dim), group.column("id").combine_chunks(), group.column("hash").to_numpy())
+        return pa.table({by: group.column(by).slice(0, 1), **{f"q_{x}": [packed[x]] for x in _PACKED}})
+
+    return asked.groupBy(by).applyInArrow(block, f"{by} int, " + ", ".join(f"q_{x} binary" for x in _PACKED))
 
 
 def _laid(rows: DataFrame, dim: int, shards: int, shard_rows: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    """rows with the cell of their nearest pivot and a shard of it; and blocks of queries for each of their nearest cells.
+    """rows with the cell of their nearest pivot and a shard of it; and rows once for each of their nearest cells (q_cell).
 
     Pivots are the distinct vectors that come first by hash: one for shard_rows
     rows. A cell over shard_rows is several shards, which its queries all visit.
@@ -259,28 +269,20 @@ def _laid(rows: DataFrame, dim: int, shards: int, shard_rows: int, probes: int)
     first = sizes.select("cell", "n", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).cast("int").alias("first"))
     laid = placed.join(first, "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id", "hash"), F.col("n"))).cast("int")).select("id", "v", "hash", "cell", "shard")
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell = batch.column(0).to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]]) if len(cell) else np.zeros(1, int)
-            for a, b in zip(edge[:-1], edge[1:]):
-                part = batch.slice(a, b - a)
-                _, packed = _packed(_unit(part.column(2), dim), part.column(1), part.column(3).to_numpy())
-                yield pa.RecordBatch.from_pydict({"q_cell": pa.array([cell[a]], pa.int32()), **{f"q_{x}": [packed[x]] for x in _PACKED}})
-
-    each = placed.select(F.explode("cells").alias("q_cell"), "id", "v", "hash").repartition(F.col("q_cell")).sortWithinPartitions("q_cell")
-    return laid, each.mapInArrow(block, "q_cell int, " + ", ".join(f"q_{x} binary" for x in _PACKED))
+    return laid, placed.select(F.explode("cells").alias("q_cell"), "id", "v", "hash")
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, probes: int | None = None) -> DataFrame:
-    """id, rank (1 to k), neighbor_id, score (cosine) for every vector as a query; the vector itself is not its neighbour.
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard_rows: int = SHARD_ROWS, probes: int | None = None, every: int = 1) -> DataFrame:
+    """id, rank (1 to k), neighbor_id, score (cosine) for the query set, against all rows; the vector itself is not its neighbour.
 
-    Ties go by neighbor_id, null last. Vectors that are null, hold a null or a
-    number that isn't finite, have no length, or have another dimension than most
-    (of equally frequent dimensions the largest counts) are neither query nor
-    neighbour. Repeated rows (same id and vector) are one; equal vectors under
-    two ids are neighbours, and so are two vectors of one id. Fewer than k + 1
-    vectors give fewer ranks. Other columns are not read.
+    Queries are the rows whose id `every` divides (1: all rows, those without an
+    id too). Ties go by neighbor_id, null last. Vectors that are null, hold a
+    null or a number that isn't finite, have no length, or have another dimension
+    than most (of equally frequent dimensions the largest counts) are neither
+    query nor neighbour. Repeated rows (same id and vector) are one; equal vectors
+    under two ids are neighbours, and so are two vectors of one id. Fewer than
+    k + 1 vectors give fewer ranks; an empty table or query set gives no row.
+    Other columns are not read, whatever their names.
 
     Every query visits every shard. With probes, vectors are laid by the nearest
     of as many pivots as there are shards, and a query visits those of its
@@ -294,9 +296,14 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = cut(rows.where(F.size("v") == dim).withColumn("hash", F.xxhash64("v")).dropDuplicates(["id", "hash"]))
     shards = max(1, -(-rows.count() // shard_rows))
     routed = probes is not None and probes < shards
+    chosen = F.lit(True) if every == 1 else F.coalesce(F.col("id") % every == 0, F.lit(False))
     if routed:
-        rows, asked = _laid(rows, dim, shards, shard_rows, probes)
+        rows, each = _laid(rows, dim, shards, shard_rows, probes)
+        asked = _blocks(each.where(chosen), "q_cell", dim)
     else:
+        each = rows.where(chosen)
+        blocks = max(1, -(-each.count() // shard_rows))
+        asked = cut(_blocks(each.withColumn("part", F.pmod(F.xxhash64("hash", "id"), F.lit(blocks)).cast("int")), "part", dim)).drop("part")
         rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).cast("int")).withColumn("cell", F.lit(0))
 
     def graph(group: pa.Table) -> pa.Table:
@@ -309,7 +316,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     if routed:
         pairs = graphs.join(asked, F.col("cell") == F.col("q_cell")).drop("q_cell")
     else:
-        pairs = graphs.repartition(shards).crossJoin(_as_queries(graphs).repartition(shards))
+        # blocks of the query set against blocks of all rows
+        pairs = graphs.repartition(shards).crossJoin(asked.repartition(blocks))
     pairs = pairs.drop("shard", "cell")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

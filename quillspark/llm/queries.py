@@ -16,7 +16,7 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=ann.QUERY_EVERY)
 
 
 def toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,22 @@ def test_edges(spark):
     assert set(got) == {1, 2, 3, None} and sorted(got[1]) == [(1, 2), (2, 3)] and sorted(got[2]) == [(1, 1), (2, 3)]
     assert len(got[3]) == 4 and len(got[None]) == 2
     assert ann.nearest(docs.limit(0)).count() == 0 and ann.nearest(docs.where("vec_id = 2")).count() == 0
+
+
+def test_query_set_against_all_rows(spark):
+    """The registered query's form, over several shards of the embeddings table, against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = rows.select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(rows, shard_rows=500, every=50).collect():
+        got.setdefault(r["vec_id"], []).append(r["neighbor_id"])
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist()) and all(len(g) == 10 for g in got.values())
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    want = {ids[i]: set(ids[np.argsort(-row)[:10]].tolist()) for i, row in zip(asked, s)}
+    assert np.mean([len(want[i] & set(g)) / 10 for i, g in got.items()]) >= 0.9
+    some = spark.createDataFrame([(None, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    assert ann.nearest(some, every=50).count() == 0
