@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.frames import cut, shared_dir
 
-LEVEL, CHUNK, ROWS_PER_FILE = 6, 1 << 20, 4000
+LEVEL, CHUNK = 6, 1 << 20
 INDEX = pa.schema([("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
 
 
@@ -85,6 +85,8 @@ def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, by
             size = int(fields["content-length"])
         except (KeyError, ValueError) as e:
             raise Broken("a record has no length") from e
+        if size < 0:
+            raise Broken(f"a record has the length {size}")
         begin = end + 4 - at
         while len(held) - at < begin + size:
             if not more():
@@ -119,7 +121,17 @@ def rewrite(source: io.RawIOBase, sink, level: int = LEVEL) -> pa.Table:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """The file system of a name that Spark takes: local, those that Arrow has itself, any other through Hadoop's client."""
+    scheme, mark, rest = uri.partition("://")
+    if not mark or scheme == "file":
+        return pafs.LocalFileSystem(), rest or uri.removeprefix("file:")
+    if scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri(f"s3://{rest}")
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        host, _, path = rest.partition("/")
+        return pafs.HadoopFileSystem.from_uri(f"{scheme}://{host}"), f"/{path}"
 
 
 def _put(fs: pafs.FileSystem, path: str, write) -> None:
@@ -154,8 +166,9 @@ def normalise(files: DataFrame, level: int = LEVEL, uri_col: str = "uri") -> Dat
     """normalise_file() of every file: the index rows with file, the path of the members.
 
     A null name is passed over, a name that comes twice is done once, a file
-    without records has no rows; a file that breaks off fails the job with its
-    name rather than lose what it holds.
+    without records has no rows, no file gives no row; a file that breaks off, or
+    has a record of negative length, fails the job with its name rather than lose
+    what it holds. Other columns are not read. Each file is a task of its own.
     """
     kinds = "file string, record bigint, page_id bigint, url string, type string, offset bigint, length bigint, payload_bytes bigint, digest string"
 
@@ -170,8 +183,9 @@ def normalise(files: DataFrame, level: int = LEVEL, uri_col: str = "uri") -> Dat
                 for rows in index.add_column(0, "file", name).to_batches():
                     yield rows
 
-    names = files.select(F.col(uri_col).alias("uri")).where("uri is not null").distinct()
-    return names.mapInArrow(run, kinds)
+    # a file is hours of work for a few bytes of name: the number of tasks follows the files, not the bytes
+    names = cut(files.select(F.col(uri_col).alias("uri")).where("uri is not null").distinct())
+    return names.repartition(max(1, names.count())).mapInArrow(run, kinds)
 
 
 def read_record(uri: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -224,7 +238,11 @@ def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url
 
 
 def normalise_pages(pages: DataFrame, level: int = LEVEL) -> DataFrame:
-    """pages through monolithic files in the shared folder and back: the index of their members."""
+    """pages through monolithic files in the shared folder and back: the index of their members.
+
+    A row for each page, repeated ones too; null ids, urls and pages and empty
+    pages are as write_monolithic() says, an empty table gives no row.
+    """
     folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     files = write_monolithic(pages, folder)
-    return normalise(files.repartition(max(1, files.count())), level)
+    return normalise(files, level)

@@ -46,7 +46,7 @@ def test_members_can_be_read_alone():
     assert again.getvalue() == made
 
 
-@pytest.mark.parametrize("broken", [b"no gzip at all", gzip.compress(b"text without a record\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort"), gzip.compress(b"WARC/1.0\r\nX: y\r\n\r\n"), gzip.compress(warc.record([], b"x" * 9000))[:-20]])
+@pytest.mark.parametrize("broken", [b"no gzip at all", gzip.compress(b"text without a record\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort"), gzip.compress(b"WARC/1.0\r\nX: y\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nContent-Length: -33\r\n\r\n"), gzip.compress(b"WARC/1.0\r\nContent-Length: -1\r\n\r\nx"), gzip.compress(warc.record([], b"x" * 9000))[:-20]])
 def test_broken_files_say_so(broken):
     with pytest.raises(warc.Broken):
         list(warc.records(warc.inflate(io.BytesIO(broken))))
@@ -79,3 +79,16 @@ def test_names(spark, tmp_path):
     (tmp_path / "bad.warc.gz").write_bytes(b"nonsense")
     with pytest.raises(Exception, match="bad.warc.gz"):
         warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/bad.warc.gz",)], "uri string")).count()
+
+
+def test_each_file_is_a_task(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.warc.gz").write_bytes(gzip.compress(b"".join(warc.record(f, p) for f, p in sample(3, i))))
+    files = spark.createDataFrame([(f"file://{tmp_path}/{i}.warc.gz", "x") for i in range(6)] * 2, "uri string, file string")
+    out = warc.normalise(files)
+    assert out.rdd.getNumPartitions() == 6 and out.count() == 18
+
+
+def test_schemes():
+    fs, path = warc._open("file:///tmp/a b")
+    assert fs.type_name == "local" and path == "/tmp/a b" and warc._open("/tmp/a b")[1] == path
