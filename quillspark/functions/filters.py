@@ -58,12 +58,16 @@ class Typed:
         column = F.col(".".join(f"`{n}`" for n in field.split(".")))
         own = "bool" if isinstance(kind, T.BooleanType) else "number" if isinstance(kind, T.NumericType) else "text" if isinstance(kind, (T.StringType, T.TimestampType, T.DateType)) else "array" if isinstance(kind, T.ArrayType) else "other"
         if operator in ("eq", "ne"):
-            same = column == F.lit(value) if own == _kind(value) else F.lit(False)
-            return same if operator == "eq" else column.isNotNull() & ~F.coalesce(same, F.lit(False))
+            if own == _kind(value):
+                return column == F.lit(value) if operator == "eq" else column != F.lit(value)
+            return F.lit(False) if operator == "eq" else column.isNotNull()
         if operator in _ORDER:
             compare = _ORDER[operator]
             if own == "text" and isinstance(value, str):
                 return compare(column, F.lit(value))
+            if isinstance(kind, T.IntegralType) and isinstance(value, int) and not isinstance(value, bool):
+                # no cast stands between the column and the scan
+                return compare(column, F.lit(value))
             if own in ("number", "bool", "text") and (number := _number(value)) is not None:
                 left = column.cast("double") if own != "text" else F.when(F.trim(column) == "", F.lit(0.0)).otherwise(column.try_cast("double"))
                 return compare(left, F.lit(number))
@@ -131,16 +135,25 @@ class Json:
         return F.lit(False)
 
 
-def compile_filter(spec: dict | None, fields: Typed | Json) -> Column:
-    """A boolean column, true or false in every row; no filter is true."""
+def condition(spec: dict | None, fields: Typed | Json) -> Column:
+    """The filter for where(), in which null counts as false: plain comparisons, which a scan can take over."""
     if not spec:
         return F.lit(True)
     if "filters" in spec:
-        parts = [compile_filter(f, fields) for f in spec["filters"]]
+        parts = [condition(f, fields) for f in spec["filters"]]
         if not parts:
             return F.lit(True)
         return reduce((lambda a, b: a & b) if spec.get("operator") == "and" else (lambda a, b: a | b), parts)
-    return F.coalesce(fields.leaf(spec["field"], spec["operator"], spec.get("value")), F.lit(False))
+    return fields.leaf(spec["field"], spec["operator"], spec.get("value"))
+
+
+def compile_filter(spec: dict | None, fields: Typed | Json) -> Column:
+    """A boolean column, true or false in every row, so that it can be negated; no filter is true.
+
+    There is no negation inside a filter, so null at a leaf makes the whole null
+    exactly where false would make it false.
+    """
+    return F.coalesce(condition(spec, fields), F.lit(False))
 
 
 def scoped(spec: dict | None, field: str, value) -> dict:

@@ -37,9 +37,11 @@ def hybrid(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = N
     caller of the older behaviour may expect.
     """
     check_k(k)
-    kept = docs if where is None else docs.where(where)
-    dense = sparse.bag_cosine(kept, queries, 4 * k, id_col, text_col, query_id, query_text)
-    words = sparse.bm25(docs if faithful else kept, queries, 4 * k, id_col, text_col, query_id, query_text)
+    # one scan: a filter that holds for both lists goes into it, one for the dense list alone is a mark
+    rows = docs if where is None or faithful else docs.where(where)
+    found = sparse.profiles(rows, queries, id_col, text_col, query_id, query_text, where if faithful else None)
+    dense = sparse.bag_cosine_of(found.kept() if faithful else found, 4 * k)
+    words = sparse.bm25_of(found, 4 * k)
     return reciprocal_rank_fusion(dense, words, k)
 
 

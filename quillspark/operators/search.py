@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import check_k
 from quillspark.functions import vectors as V
+from quillspark.session import cut, fits
 
 #: A faithful post-filter looks at so many nearest rows, or k if that is more.
 OVERSCAN = 50
+#: What a query takes at most of memory, for the bound on those that go to every task.
+QUERY_BYTES = 8192
 
 
 def literal(vector) -> Column:
@@ -45,52 +48,90 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
 
     Queries and rows go as blocks of at most `block`; each pair of blocks is one
     matrix product in double precision that sends on its k best of each query
-    alone. Neither side is broadcast by hand and nothing is collected.
+    alone. Queries are broadcast if their size, counted before, allows it;
+    otherwise the blocks of both sides are made once and kept.
     """
     check_k(k)
     left = _blocks(queries, query_id, query_vector, block).toDF("q_ids", "q_points", "q_dim")
     right = _blocks(rows, id_col, vector_col, block).toDF("ids", "points", "dim")
+    if fits(queries.select(query_id), QUERY_BYTES):
+        pairs = right.crossJoin(F.broadcast(left))
+    else:
+        pairs = cut(left).crossJoin(cut(right))
+    return _best(_multiplied(pairs, k, metric), k)
+
+
+def within_cells(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", block: int = 1024) -> DataFrame:
+    """batch_top_k() where a query meets the rows of its own cells alone. rows: with cell; queries: a row for each of a query's cells.
+
+    Blocks are ranges of cell and id, so that a cell that holds most rows is many
+    blocks in many tasks.
+    """
+    check_k(k)
+    left = _blocks(queries, query_id, query_vector, block, "cell").toDF("q_ids", "q_points", "q_dim", "cell")
+    right = _blocks(rows, id_col, vector_col, block, "cell").toDF("ids", "points", "dim", "cell")
+    return _best(_multiplied(left.join(right, "cell").drop("cell"), k, metric), k)
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _multiplied(pairs: DataFrame, k: int, metric: str) -> DataFrame:
+    """query_id, id, score: of each pair of blocks the k best of each query, and what ties with the last of them."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids"))
                 q, x = (np.frombuffer(row[c], np.float64).reshape(-1, row[d]) for c, d in (("q_points", "q_dim"), ("points", "dim")))
-                # equal vectors must tie, whatever order a product adds in
-                s = np.round(_scores(metric, q, x), 9)
+                s, spread = _scores(metric, q, x)
                 n = min(k, len(ids))
-                # the k-th best, and whatever ties with it: the window decides by id
+                # the k-th best, and whatever may tie with it: the window decides by id
                 edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                r, c = np.nonzero(s >= edge)
-                yield pa.RecordBatch.from_pydict({"query_id": q_ids[r], "id": ids[c], "score": s[r, c]})
+                r, c = np.nonzero(s >= edge - spread)
+                score = s[r, c]
+                if metric == "euclidean":
+                    # the product only proposes: a difference has no rest where two vectors are equal
+                    away = np.concatenate([np.sqrt(((q[r[a : a + 65536]] - x[c[a : a + 65536]]) ** 2).sum(1)) for a in range(0, len(r), 65536)])
+                    score = np.round(1 / (1 + away), 9)
+                yield pa.RecordBatch.from_pydict({"query_id": q_ids[r], "id": ids[c], "score": score})
+
+    return pairs.select("q_ids", "q_points", "q_dim", "ids", "points", "dim").mapInArrow(multiply, "query_id bigint, id bigint, score double")
 
-    pairs = left.crossJoin(right).mapInArrow(multiply, "query_id bigint, id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+def _blocks(rows: DataFrame, id_col: str, vector_col: str, block: int, by: str | None = None) -> DataFrame:
+    """ids, points, dim of blocks of rows; with `by`, of rows of one value of it each, which comes last."""
 
-def _blocks(rows: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                part = batch.slice(a, block)
-                dim = len(part.column(1)[0])
-                points = np.asarray(part.column(1).flatten(), np.float64)
-                yield pa.RecordBatch.from_pydict({"ids": [part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], "points": [points.tobytes()], "dim": pa.array([dim], pa.int32())})
-
-    valid = rows.select(F.col(id_col).cast("bigint"), F.col(vector_col).cast("array<float>")).dropna()
-    return valid.mapInArrow(pack, "ids binary, points binary, dim int")
-
-
-def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if metric == "euclidean":
-        d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T
-        return 1 / (1 + np.sqrt(np.maximum(d2, 0)))
+            groups = batch.column(2).to_numpy() if by else np.zeros(batch.num_rows)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [batch.num_rows]]) if batch.num_rows else np.zeros(1, int)
+            for low, high in zip(edges[:-1], edges[1:]):
+                for a in range(low, high, block):
+                    part = batch.slice(a, min(block, high - a))
+                    points = np.asarray(part.column(1).flatten(), np.float64)
+                    out = {"ids": [part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], "points": [points.tobytes()], "dim": pa.array([len(part.column(1)[0])], pa.int32())}
+                    yield pa.RecordBatch.from_pydict(out | ({by: part.column(2).slice(0, 1)} if by else {}))
+
+    valid = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), *([F.col(by).cast("int").alias("by")] if by else [])).dropna()
+    if by:
+        valid = valid.repartitionByRange("by", "id").sortWithinPartitions("by", "id")
+    return valid.mapInArrow(pack, "ids binary, points binary, dim int" + (f", {by} int" if by else ""))
+
+
+def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Scores as a matrix, larger is nearer, and how far one may be off where that matters."""
     s = q @ x.T
+    if metric == "euclidean":
+        q2, x2 = (q * q).sum(1)[:, None], (x * x).sum(1)[None]
+        return 2 * s - q2 - x2, 1e-12 * (q2 + x2.max())
     if metric == "cosine":
         length = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
         s = np.where(length == 0, 0.0, s / np.where(length == 0, 1.0, length))
-    return s
+    # equal vectors must tie, whatever order a product adds in
+    return np.round(s, 9), 0.0
 
 
 def hydrate(hits: DataFrame, rows: DataFrame, id_col: str = "id", keep: list[str] = ()) -> DataFrame:
@@ -124,9 +165,20 @@ def index_stats(rows: DataFrame, vector_col: str = "vector", links: int = 16) ->
 
 
 def centroids(rows: DataFrame, cell_col: str, vector_col: str = "vector") -> DataFrame:
-    """The mean vector of each cell."""
-    parts = rows.select(F.col(cell_col).alias("cell"), F.posexplode(vector_col).alias("at", "x"))
-    mean = parts.groupBy("cell", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    """The mean vector of each cell: sums of each batch in numpy, and only those are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                sums = np.zeros((len(cells), x.shape[1]))
+                np.add.at(sums, own, x)
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "n": np.bincount(own), "sums": pa.array(list(sums), pa.list_(pa.float64()))})
+
+    parts = rows.select(F.col(cell_col).cast("int").alias("cell"), F.col(vector_col).cast("array<float>").alias("v")).dropna()
+    each = parts.mapInArrow(run, "cell int, n bigint, sums array<double>").select("cell", "n", F.posexplode("sums").alias("at", "x"))
+    mean = each.groupBy("cell", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
     return mean.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("p")).select("cell", F.transform("p", lambda p: p["x"]).alias("centroid"))
 
 
@@ -143,19 +195,29 @@ def train_cells(rows: DataFrame, cells: int, rounds: int = 5, id_col: str = "id"
     return spark.createDataFrame(means, "cell int, centroid array<double>")
 
 
-def assign_cells(rows: DataFrame, table: DataFrame, vector_col: str = "vector") -> DataFrame:
-    """rows with the cell of the nearest centroid (cosine; ties by cell). The table is one row for each cell; it goes to every task."""
+def assign_cells(rows: DataFrame, table: DataFrame, vector_col: str = "vector", probes: int = 1) -> DataFrame:
+    """rows with the cell of the nearest centroid (cosine to 9 places; ties by cell); with probes, a row for each of so many cells.
+
+    The table is one row for each cell; it goes to every task.
+    """
     cells = table.orderBy("cell").collect()
     ids = np.array([r["cell"] for r in cells], np.int32)
     means = np.array([r["centroid"] for r in cells], np.float64)
     means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
 
+    def similar(v: pd.Series) -> np.ndarray:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return np.round(x @ means.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), 9)
+
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series(ids[(x @ means.T).argmax(1)])
+        return pd.Series(ids[similar(v).argmax(1)])
+
+    @F.pandas_udf("array<int>")
+    def several(v: pd.Series) -> pd.Series:
+        return pd.Series(list(ids[np.argsort(-similar(v), 1, kind="stable")[:, :probes]]))
 
-    return rows.withColumn("cell", nearest(F.col(vector_col)))
+    return rows.withColumn("cell", nearest(F.col(vector_col)) if probes == 1 else F.explode(several(F.col(vector_col))))
 
 
 def probed(table: DataFrame, vector, probes: int, metric: str = "cosine") -> DataFrame:

@@ -1,64 +1,153 @@
-"""Keyword ranking: postings, document frequencies, BM25 for any number of queries at once."""
+"""Keyword ranking: postings, document frequencies, BM25 for any number of queries at once.
+
+Documents are tokenised once for a search: profiles() reads them in one scan and
+keeps, in the shared folder, a small row each with what every list needs. Ids
+are taken to be unique, as a collection's are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.errors import check_k
 from quillspark.functions.text import tokenize
-from quillspark.session import fits
+from quillspark.functions.words import Words, steps
+from quillspark.session import BROADCAST_BYTES, cut
 
 K1, B = 1.5, 0.75
+#: What a query term takes at most of memory, for the bound on those that go to every task.
+TERM_BYTES = 64
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def tokens(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, term, tf, dl: a row for each distinct term of each document.
+    """id, term, tf, dl: a row for each distinct term of each document, without a shuffle."""
+    inner = _texts(docs, id_col, text_col)
 
-    The explode is an outer one: an inner one would have its filter pushed below
-    it and the tokenizer run twice.
-    """
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
-    each = words.select("id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
-    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            words = Words(part.column(1))
+            doc, code, n = words.counts()
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), words.terms.take(pa.array(code)), pa.array(n), pa.array(words.lengths()[doc].astype(np.int32))], names=["id", "term", "tf", "dl"])
+
+    return inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, term string, tf bigint, dl int")
 
 
 def lengths(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(tokenize(F.col(text_col))), F.lit(0)).alias("dl"))
+    """id, dl: how many tokens each document has; none without a text."""
+    inner = _texts(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(Words(part.column(1)).lengths().astype(np.int32))], names=["id", "dl"])
+
+    return inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, dl int")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, df straight from the documents: each batch counts its own before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            words = Words(part.column(0))
+            yield pa.RecordBatch.from_arrays([words.terms, pa.array(np.bincount(words.counts()[1], minlength=len(words.terms)))], names=["term", "df"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, df bigint").where("df > 0")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"))
+
+
 def corpus_stats(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """n and avgdl in one row; 0 for an empty corpus. Documents without a token count."""
-    return lengths(docs, id_col, text_col).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return _stats(lengths(docs, id_col, text_col))
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+
+
+def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """query_id, term, qtf."""
+    each = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term"))
+    return each.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+class Profiles:
+    """Documents as a search needs them: rows of id, dl, norm, kept and words (term, tf) of the query terms; the queries' own terms; how to join with those."""
+
+    def __init__(self, rows: DataFrame, asked: DataFrame, few: bool):
+        self.rows, self.asked = rows, asked
+        # the queries bound every side that follows from them
+        self.hint = F.broadcast if few else (lambda df: df)
+
+    def kept(self) -> Profiles:
+        out = Profiles(self.rows.where("kept"), self.asked, True)
+        out.hint = self.hint
+        return out
+
+    def postings(self) -> DataFrame:
+        return self.rows.select("id", "dl", "norm", F.inline("words"))
+
+
+def profiles(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", kept: Column | None = None) -> Profiles:
+    """One scan of the documents for all lists of a search.
+
+    Up to BROADCAST_BYTES of query terms, counted as they come, go to every
+    task and other terms are left behind in it; more are joined afterwards.
+    kept marks the rows that a filter lets through.
+    """
+    asked = query_terms(queries, query_id, query_text)
+    most = BROADCAST_BYTES // TERM_BYTES
+    found = [r["term"] for r in asked.select("term").distinct().limit(most + 1).collect()]
+    few = len(found) <= most
+    wanted = pa.array(found, pa.string()) if few else None
+    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))).alias("kept"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches, "text"):
+            words = Words(part.column(1))
+            doc, code, n = words.counts()
+            norm = np.sqrt(np.bincount(doc, n.astype(np.float64) ** 2, words.texts))
+            if wanted is not None:
+                own = pc.is_in(words.terms, wanted).to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, bool)
+                doc, code, n = doc[own], code[own], n[own]
+            offs = np.searchsorted(doc, np.arange(words.texts + 1)).astype(np.int32)
+            items = pa.StructArray.from_arrays([words.terms.take(pa.array(code)), pa.array(n)], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.lengths().astype(np.int32)), pa.array(norm), part.column(2), pa.ListArray.from_arrays(pa.array(offs), items)], names=["id", "dl", "norm", "kept", "words"])
+
+    rows = cut(inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, dl int, norm double, kept boolean, words array<struct<term string, tf bigint>>"))
+    if not few:
+        terms = asked.select("term").distinct()
+        held = rows.select("id", F.inline("words")).join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
+        rows = cut(rows.drop("words").join(held, "id", "left"))
+    return Profiles(rows, asked, few)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
     """query_id, id, score, rank for every query; rows without a query term have none. k: only so many of each query.
 
-    Only postings of query terms leave the scan: the terms are one small table,
-    joined before tokens are counted. A term repeated in a query counts as often.
+    A term repeated in a query counts as often.
     """
     if k is not None:
         check_k(k)
-    asked = query_terms(queries, query_id, query_text)
-    # the queries bound every side that follows from them; they are counted once
-    hint = F.broadcast if fits(asked) else (lambda df: df)
-    terms = asked.select("term").distinct()
-    words = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("words")).withColumn("dl", F.size("words"))
-    each = words.select("id", "dl", F.explode_outer("words").alias("term")).where("term is not null")
-    postings = each.join(hint(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = words.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.coalesce("dl", F.lit(0))), F.lit(0.0)).alias("avgdl"))
-    return rank(postings, document_frequency(postings), stats, asked, k, hint, k1, b)
+    return bm25_of(profiles(docs, queries, id_col, text_col, query_id, query_text), k, k1, b)
 
 
-def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
-    """query_id, term, qtf."""
-    each = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(query_text))).alias("term"))
-    return each.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def bm25_of(found: Profiles, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    postings = found.postings()
+    return rank(postings, document_frequency(postings), _stats(found.rows), found.asked, k, found.hint, k1, b)
 
 
 def rank(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k: int | None, hint, k1: float = K1, b: float = B) -> DataFrame:
@@ -68,6 +157,10 @@ def rank(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame,
     tf = F.col("tf")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     found = postings.join(hint(weights), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int | None) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -78,16 +171,13 @@ def bag_cosine(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col
 
     Query terms outside the corpus don't count for the query's length.
     """
-    postings = tokens(docs, id_col, text_col)
-    norms = postings.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    asked = query_terms(queries, query_id, query_text)
-    hint = F.broadcast if fits(asked) else (lambda df: df)
+    return bag_cosine_of(profiles(docs, queries, id_col, text_col, query_id, query_text), k)
+
+
+def bag_cosine_of(found: Profiles, k: int | None = None) -> DataFrame:
+    held, hint = found.postings(), found.hint
     # of the corpus only whether it has a query's term at all
-    held = postings.join(hint(asked.select("term").distinct()), "term")
-    asked = asked.join(held.select("term").distinct(), "term", "left_semi")
+    asked = found.asked.join(held.select("term").distinct(), "term", "left_semi")
     length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = held.join(hint(asked), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    found = dots.join(norms, "id").join(hint(length), "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    ranked = found.withColumn("rank", F.row_number().over(best))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    dots = held.join(hint(asked), "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("norm").alias("norm"))
+    return _best(dots.join(hint(length), "query_id").select("query_id", "id", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")), k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import embed, quant
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
-from quillspark.functions.filters import Json, Typed, compile_filter, host_allowed, scoped
+from quillspark.functions.filters import Json, Typed, condition, host_allowed, scoped
 from quillspark.operators import chunk, evaluation, fusion, rag, search, sparse
 from quillspark.plans import known
 from quillspark.session import shared_folder
@@ -78,7 +78,7 @@ for _name, _metric, _sql in (("r01_vec_topk_cosine", "cosine", COS), ("r02_vec_t
 @register("r04_vec_topk_filtered", Q0.format(COS) + " select vec_id, round(score, 6) score from s where label = 3 order by s.score desc, vec_id limit 10")
 def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    where = compile_filter({"field": "label", "operator": "eq", "value": 3}, Typed(rows.schema))
+    where = condition({"field": "label", "operator": "eq", "value": 3}, Typed(rows.schema))
     return search.top_k(rows, first_vector(spark, sf_dir), 10, where=where).select(F.col("id").alias("vec_id"), r6("score"))
 
 
@@ -98,6 +98,19 @@ def vec_batch_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_top_k(rows, asked, 10).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), r6("score"))
 
 
+def _batch(metric: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = vectors(spark, sf_dir)
+        asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+        return search.batch_top_k(rows, asked, 10, metric).select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), r6("score"))
+
+    return run
+
+
+for _name, _metric, _sql in (("r06b_vec_batch_euclid", "euclidean", "1 / (1 + list_distance(a.embedding::double[], b.embedding::double[]))"), ("r06c_vec_batch_dot", "dot", "list_inner_product(a.embedding::double[], b.embedding::double[])")):
+    register(_name, f"with p as (select a.vec_id query_id, b.vec_id id, round({_sql}, 9) score from embeddings a, embeddings b), r as (select *, row_number() over (partition by query_id order by score desc, id) rank from p) select query_id, id, rank, round(score, 6) score from r where rank <= 10")(_batch(_metric))
+
+
 @register("r07_vec_normalise", "select vec_id, len(embedding) = 64 and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 valid, round(list_sum(list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[])))), 6) total from embeddings")
 def vec_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = V.normalise(F.col("vector"))
@@ -143,28 +156,16 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     truth = search.batch_top_k(rows, asked, 10)
-    cells = search.centroids(rows, "label").withColumnsRenamed({"cell": "id", "centroid": "vector"}).withColumn("vector", F.col("vector"))
-    near = _nearest_cells(cells, asked, 3)
-    each = near.join(rows.select("id", "label", "vector"), F.col("cell") == F.col("label")).join(asked, "query_id")
-    score = F.round(V.similarity("cosine", F.col("query_vector"), F.col("vector")), 9)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = each.select("query_id", "id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where("rank <= 10")
+    near = search.assign_cells(asked, search.centroids(rows, "label"), "query_vector", probes=3)
+    found = search.within_cells(rows.withColumn("cell", F.col("label")), near, 10)
     return evaluation.recall_at_k(found, truth, 10).withColumn("recall", F.round("recall", 6))
 
 
-def _nearest_cells(cells: DataFrame, asked: DataFrame, probes: int) -> DataFrame:
-    """query_id, cell of each query's nearest centroids; centroids stay in double precision."""
-    score = F.round(V.similarity("cosine", F.col("query_vector"), F.col("vector")), 9)
-    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "cell")
-    pairs = asked.crossJoin(F.broadcast(cells.select(F.col("id").alias("cell"), "vector"))).select("query_id", "cell", score.alias("s"))
-    return pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= probes).select("query_id", "cell")
-
-
 def _filter(name: str, source: str, spec: dict, sql: str, key: str):
     @register(name, f"select {key} from {source} where {sql}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, source)
-        return rows.where(compile_filter(spec, Typed(rows.schema))).select(key)
+        return rows.where(condition(spec, Typed(rows.schema))).select(key)
 
 
 def _leaf(field: str, operator: str, value) -> dict:
@@ -180,23 +181,27 @@ _filter("r21_filter_nested", "documents", {"operator": "and", "filters": [{"oper
 _filter("r22_filter_empty", "documents", {"operator": "or", "filters": [{"operator": "and", "filters": []}, _leaf("lang", "like", "en")]}, "true", "doc_id")
 
 
+_filter("r22c_filter_unknown", "documents", {"operator": "and", "filters": [_leaf("n_chars", "lt", 2000), {"operator": "or", "filters": [_leaf("lang", "like", "en"), _leaf("nowhere", "ne", 1), _leaf("source", "eq", "src2")]}]}, "n_chars < 2000 and (false or false or source = 'src2')", "doc_id")
+_filter("r22d_filter_no_match", "documents", _leaf("lang", "matches", "en"), "false", "doc_id")
+
+
 @register("r19_filter_contains_array", "select conv_id from conversations group by 1 having list_contains(list(role), 'system')")
 def filter_contains_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("roles"))
-    return rows.where(compile_filter(_leaf("roles", "contains", "system"), Typed(rows.schema))).select("conv_id")
+    return rows.where(condition(_leaf("roles", "contains", "system"), Typed(rows.schema))).select("conv_id")
 
 
 @register("r20_filter_json_path", "select event_id from events where (props->>'$.k')::double >= 50 or (props->>'$.k')::double in (3, 7)")
 def filter_json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = {"operator": "or", "filters": [_leaf("k", "gte", 50), _leaf("k", "in", [3, 7, "9"]), _leaf("missing.path", "ne", 1)]}
-    return table(spark, sf_dir, "events").where(compile_filter(spec, Json(F.col("props")))).select("event_id")
+    return table(spark, sf_dir, "events").where(condition(spec, Json(F.col("props")))).select("event_id")
 
 
 @register("r22b_filter_scoped", "select doc_id from documents where source = 'src3' and (lang = 'en' or n_chars < 500)")
 def filter_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
     spec = {"operator": "or", "filters": [_leaf("lang", "eq", "en"), _leaf("n_chars", "lt", 500)]}
-    return rows.where(compile_filter(scoped(spec, "source", "src3"), Typed(rows.schema))).select("doc_id")
+    return rows.where(condition(scoped(spec, "source", "src3"), Typed(rows.schema))).select("doc_id")
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -208,12 +213,12 @@ def _tok(column: str = "text") -> str:
 
 @register("r23_tokenize_counts", f"select doc_id, len({_tok()}) n_tokens from documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_tokens"))
+    return sparse.lengths(table(spark, sf_dir, "documents"), "doc_id").select(F.col("id").alias("doc_id"), F.col("dl").cast("bigint").alias("n_tokens"))
 
 
 @register("r24_doc_freq", f"select term, count(distinct doc_id) df from (select doc_id, unnest({_tok()}) term from documents) group by 1")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.document_frequency(sparse.tokens(table(spark, sf_dir, "documents"), "doc_id"))
+    return sparse.term_documents(table(spark, sf_dir, "documents"))
 
 
 def _bm25_sql(docs: str = "documents", k: int = 10) -> str:
@@ -264,7 +269,8 @@ def bm25_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r27_rrf_fuse", f"with {_bm25_sql()}, {_bag_sql()}, {RRF} select query_id, id, dense_rank::int dense_rank, sparse_rank::int sparse_rank, rank, round(score, 6) score from fr")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    fused = fusion.reciprocal_rank_fusion(sparse.bag_cosine(docs, asked, 10, "doc_id"), sparse.bm25(docs, asked, 10, "doc_id"))
+    found = sparse.profiles(docs, asked, "doc_id")
+    fused = fusion.reciprocal_rank_fusion(sparse.bag_cosine_of(found, 10), sparse.bm25_of(found, 10))
     return fused.select("query_id", "id", "dense_rank", "sparse_rank", F.col("rank").cast("bigint").alias("rank"), r6("score"))
 
 
@@ -278,13 +284,13 @@ ENGLISH = "(select * from documents where lang = 'en')"
 
 @register("r29_hybrid_filtered", f"with {_bm25_sql(ENGLISH, 40)}, {_bag_sql(ENGLISH, 40)}, {RRF} select query_id, id, rank, round(score, 6) score from fr where rank <= 10")
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = F.coalesce(F.col("lang") == "en", F.lit(False))
+    where = F.col("lang") == "en"
     return _ranked(fusion.hybrid(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 10, where, id_col="doc_id"))
 
 
 @register("r29b_hybrid_faithful", f"with {_bm25_sql(k=40)}, {_bag_sql(ENGLISH, 40)}, {RRF} select query_id, id, rank, round(score, 6) score from fr where rank <= 10")
 def hybrid_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = F.coalesce(F.col("lang") == "en", F.lit(False))
+    where = F.col("lang") == "en"
     return _ranked(fusion.hybrid(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 10, where, True, "doc_id"))
 
 
@@ -426,7 +432,8 @@ _RERANKED = f"lx as (select fr.query_id, fr.id, row_number() over (partition by
 def citation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.createDataFrame(known.PASSAGES, "id string, text string")
     asked = spark.createDataFrame(known.QUESTIONS, "query_id int, query string, expected_id string")
-    dense, words = (f(docs, asked.drop("expected_id"), 12) for f in (sparse.bag_cosine, sparse.bm25))
+    found = sparse.profiles(docs, asked.drop("expected_id"))
+    dense, words = (f(found, 12) for f in (sparse.bag_cosine_of, sparse.bm25_of))
     fused = fusion.reciprocal_rank_fusion(dense, words)
     pool = fused.where("rank <= 12").join(docs, "id").join(asked.drop("expected_id"), "query_id")
     again = fusion.lexical_rerank(pool).select("query_id", "id", F.col("new_rank").alias("rank"))

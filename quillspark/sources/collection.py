@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import DimensionMismatch, InvalidParams, check_vector, sanitise
-from quillspark.functions.filters import Json, compile_filter
+from quillspark.functions.filters import Json, condition
 from quillspark.operators import search
 
 SCHEMA = "id string, vector array<float>, metadata string, timestamp bigint, seq bigint, deleted boolean"
@@ -132,7 +132,7 @@ class Collection:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def filter(self, spec: dict | None) -> DataFrame:
-        return self.rows().where(compile_filter(spec, Json(F.col("metadata"))))
+        return self.rows().where(condition(spec, Json(F.col("metadata"))))
 
     def stream(self) -> Iterator[Row]:
         """Rows by id, a partition at a time."""
@@ -147,7 +147,7 @@ class Collection:
             if text is None or self.embedder is None:
                 raise InvalidParams("a search needs a vector, or a text and an embedder")
             vector = self.embedder.embed([text])[0]
-        where: Column = compile_filter(filter, Json(F.col("metadata")))
+        where: Column = condition(filter, Json(F.col("metadata")))
         return search.top_k(self.rows(), check_vector(vector, self.dimensions), k, self.metric, where=where, keep=["metadata"], include_vectors=include_vectors)
 
     def compact(self, force: bool = False) -> bool:
