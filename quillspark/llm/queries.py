@@ -29,8 +29,7 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    return lm.score(_table(spark, sf_dir, "documents"))
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
