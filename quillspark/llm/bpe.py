@@ -3,7 +3,9 @@
 A text is split by the vocabulary's pattern. The distinct pieces of a batch
 that aren't known yet are laid out as matrices of symbols, one for each length
 class; each round every row merges its leftmost pair of least rank, found in a
-hash table of pairs, and rows without a pair leave the matrix.
+hash table of pairs, and rows without a pair leave the matrix. The row's further
+pairs of that rank, which come next unless a merge makes a pair of a lower one,
+are merged in the same round; a row where one does goes back to the leftmost.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from quillspark.llm.frames import mix, pieces, utf8
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP_BYTES = 2 << 20
+#: Symbols of a matrix, unless one row alone has more.
+MATRIX_CELLS = 8 << 20
 #: Pieces kept between batches of a task; a memory bound, the result doesn't depend on it.
 KNOWN_PIECES = 300_000
-WIDEST = 128
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -94,57 +97,60 @@ class ByteBPE:
         if w > 1:
             real = np.nonzero(rows[:, 1:] >= 0)
             rank[real] = self.pairs.find(rows[:, :-1][real], rows[:, 1:][real])
-        place = np.arange(w)
         while True:
-            best = rank.argmin(1)
-            row = np.arange(len(rows))
-            merged = rank[row, best]
-            done = merged == _NONE
+            least = rank.min(1)
+            done = least == _NONE
             if done.any():
                 out[live[done], : rows.shape[1]] = rows[done]
                 go = ~done
-                rows, rank, live, best, merged = rows[go], rank[go], live[go], best[go], merged[go]
-                row = np.arange(len(rows))
+                rows, rank, live, least = rows[go], rank[go], live[go], least[go]
             if not len(rows):
                 break
-            w = rows.shape[1]
-            take = place[:w] + (place[:w] > best[:, None])
-            take[:, -1] = np.minimum(take[:, -1], w - 1)
-            rows = np.take_along_axis(rows, take, 1)
-            rank = np.take_along_axis(rank, take, 1)
-            rows[:, -1], rank[:, -1] = -1, _NONE
-            rows[row, best] = merged
-            for shift in (0, 1):
-                at = best - 1 + shift
-                ok = np.flatnonzero((at >= 0) & (at + 1 < w))
-                ok = ok[rows[ok, at[ok] + 1] >= 0]
-                if shift:
-                    rank[row, best] = _NONE
-                rank[ok, at[ok]] = self.pairs.find(rows[ok, at[ok]], rows[ok, at[ok] + 1])
-            # compaction: the widest row sets the width
-            w = int((rows >= 0).sum(1).max())
-            rows, rank = rows[:, :w], rank[:, :w]
+            r, c = np.nonzero(rank == least[:, None])
+            # of pairs that overlap every second one from the left
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)
+            head = np.flatnonzero(new)
+            take = (np.arange(len(r)) - head[np.cumsum(new) - 1]) % 2 == 0
+            r, c = r[take], c[take]
+            packed, ranks, lower = self._round(rows, rank, least, r, c)
+            if lower.any():
+                back = np.flatnonzero(lower)
+                one, one_rank, _ = self._round(rows[back], rank[back], least[back], np.arange(len(back)), rank[back].argmin(1))
+                if one.shape[1] > packed.shape[1]:
+                    more = ((0, 0), (0, one.shape[1] - packed.shape[1]))
+                    packed, ranks = np.pad(packed, more, constant_values=-1), np.pad(ranks, more, constant_values=_NONE)
+                packed[back], ranks[back] = -1, _NONE
+                packed[back, : one.shape[1]], ranks[back, : one.shape[1]] = one, one_rank
+            rows, rank = packed, ranks
         return out, (out >= 0).sum(1)
 
-    def merge_long(self, row: np.ndarray) -> np.ndarray:
-        """merge() of one long row: all places of the least rank at once, from the left, which comes to the same."""
-        while len(row) > 1:
-            rank = self.pairs.find(row[:-1], row[1:])
-            least = rank.min()
-            if least == _NONE:
-                break
-            at = np.flatnonzero(rank == least)
-            # of overlapping places every second one from the left
-            new = np.append(True, at[1:] != at[:-1] + 1)
-            head = np.flatnonzero(new)
-            within = np.arange(len(at)) - head[np.cumsum(new) - 1]
-            at = at[within % 2 == 0]
-            row = row.copy()
-            row[at] = least
-            keep = np.ones(len(row), bool)
-            keep[at + 1] = False
-            row = row[keep]
-        return row
+    def _round(self, rows: np.ndarray, rank: np.ndarray, least: np.ndarray, r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """rows and ranks with the pairs at (r, c), in order, merged; and the rows with several where a merge makes a pair below their rank."""
+        lower = np.zeros(len(rows), bool)
+        # a merge beside the next one: for a while the pair between them is there
+        beside = np.flatnonzero((r[1:] == r[:-1]) & (c[1:] == c[:-1] + 2))
+        lower[r[beside]] = self.pairs.find(least[r[beside]], rows[r[beside], c[beside] + 2]) < least[r[beside]]
+        rows = rows.copy()
+        rows[r, c] = least[r]
+        # compaction: the right symbol of each pair goes, what follows moves up
+        keep = rows >= 0
+        keep[r, c + 1] = False
+        size = keep.sum(1)
+        width = int(size.max())
+        inside = np.arange(width) < size[:, None]
+        packed, ranks = np.full((len(rows), width), -1, np.int32), np.full((len(rows), width), _NONE, np.int32)
+        packed[inside], ranks[inside] = rows[keep], rank[keep]
+        # new neighbours on either side of what was merged: a place less for each merge before it in its row
+        first = np.searchsorted(r, np.arange(len(rows)))
+        at = c - (np.arange(len(r)) - first[r])
+        ranks[r, at] = _NONE
+        for near in (at - 1, at):
+            ok = np.flatnonzero((near >= 0) & (near + 1 < size[r]))
+            own, place = r[ok], near[ok]
+            ranks[own, place] = found = self.pairs.find(packed[own, place], packed[own, place + 1])
+            lower[own[found < least[own]]] = True
+        return packed, ranks, lower & (np.bincount(r, minlength=len(rows)) > 1)
 
     def encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in a row, and how many each has."""
@@ -155,9 +161,11 @@ class ByteBPE:
         count = np.zeros(len(raw), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         width, low = 4, 0
-        while low < WIDEST:
-            own = np.flatnonzero((size > low) & (size <= width))
-            if len(own):
+        while low < int(size.max(initial=0)):
+            every = np.flatnonzero((size > low) & (size <= width))
+            # rows of a class of long pieces a few at a time
+            for a in range(0, len(every), most := max(1, MATRIX_CELLS // width)):
+                own = every[a : a + most]
                 rows = np.full((len(own), width), -1, np.int32)
                 inside = np.arange(width) < size[own][:, None]
                 rows[inside] = buf[(ends[own] - size[own]).repeat(size[own]) + np.nonzero(inside)[1]]
@@ -165,10 +173,6 @@ class ByteBPE:
                 count[own] = n
                 found.append((own, out[out >= 0]))
             low, width = width, width * 2
-        for i in np.flatnonzero(size > WIDEST):
-            out = self.merge_long(buf[ends[i] - size[i] : ends[i]])
-            count[i] = len(out)
-            found.append((np.array([i]), out))
         to = np.cumsum(count) - count
         flat = np.empty(int(count.sum()), np.int32)
         for own, tokens in found:
@@ -176,8 +180,13 @@ class ByteBPE:
             flat[np.repeat(to[own] - (np.cumsum(n) - n), n) + np.arange(len(tokens))] = tokens
         return flat, count
 
+    def known(self, tokens: np.ndarray) -> np.ndarray:
+        """Which numbers are tokens."""
+        inside = (tokens >= 0) & (tokens < len(self.sizes))
+        return inside & (self.sizes[np.where(inside, tokens, 0)] > 0)
+
     def decode(self, tokens: np.ndarray) -> bytes:
-        """The bytes of tokens in a row."""
+        """The bytes of tokens in a row; all must be known()."""
         size = self.sizes[tokens]
         at = np.repeat(self.ends[tokens] - np.cumsum(size), size) + np.arange(int(size.sum()))
         return self.flat[at].tobytes()
@@ -234,7 +243,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     exact says that the tokens decode to the very bytes of the text. A null text
     has null tokens and n_tokens 0, an empty one no tokens. Nothing is special:
     marks such as <|endoftext|> are ordinary text. Null ids and repeated rows
-    pass through, other columns are not read.
+    pass through, an empty table gives no row, other columns are not read,
+    whatever their names. Texts and pieces of any length go the same way.
     """
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
@@ -259,15 +269,32 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return inner.mapInArrow(run, f"id {kind}, tokens array<int>, n_tokens bigint, exact boolean").withColumnRenamed("id", id_col)
 
 
+def _text(bpe: ByteBPE, tokens: list[int | None]) -> str:
+    numbers = np.array([-1 if t is None else t for t in tokens], np.int64)
+    real = bpe.known(numbers)
+    if real.all():
+        return bpe.decode(numbers).decode("utf-8", "replace")
+    # the mark stands between whole stretches of bytes
+    edge = np.flatnonzero(~real)
+    parts = [numbers[a:b] for a, b in zip(np.append(0, edge + 1), np.append(edge, len(numbers)))]
+    return "\ufffd".join(bpe.decode(p).decode("utf-8", "replace") for p in parts)
+
+
 def decode_documents(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """id, text of token lists; null lists give null, empty ones an empty text, bytes that aren't UTF-8 a replacement character."""
+    """id, text of token lists, one row for each input row.
+
+    Null lists give null, empty ones an empty text, bytes that aren't UTF-8 a
+    replacement character; so does each null, and each number that is no token
+    of the vocabulary. Null ids and repeated rows pass through, an empty table
+    gives no row, other columns are not read.
+    """
     inner = tokens.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
     kind = inner.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, pattern)
         for batch in batches:
-            texts = [None if t is None else bpe.decode(np.array(t, np.int64)).decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else _text(bpe, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return inner.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

@@ -37,12 +37,38 @@ def test_equals_the_library(library, seed, monkeypatch):
         assert [tokens[e - c : e].tolist() for e, c in zip(ends, count)] == [library.encode_ordinary(t or "") for t in part]
 
 
-def test_long_and_short_rows_agree():
+def one_by_one(m, row):
+    """The leftmost pair of least rank, again and again."""
+    row = row.tolist()
+    while len(row) > 1:
+        rank = m.pairs.find(np.array(row[:-1]), np.array(row[1:]))
+        at = int(rank.argmin())
+        if rank[at] == bpe._NONE:
+            break
+        row[at : at + 2] = [int(rank[at])]
+    return row
+
+
+def test_long_rows_merge_as_if_one_by_one():
     m = bpe.load()
-    for word in ("aaaaabaaaaab" * 9, "thethethe" * 12, "x" * 100, "ababababa" * 11):
+    for word in ("aaaaabaaaaab" * 9, "thethethe" * 12, "x" * 700, "ababababa" * 11, "".join(random.Random(4).choices("abcdeth", k=900))):
         row = m.single[np.frombuffer(word.encode(), np.uint8)]
-        short, n = m.merge(row[None].copy())
-        assert short[0, : n[0]].tolist() == m.merge_long(row).tolist()
+        got, n = m.merge(row[None].copy())
+        assert got[0, : n[0]].tolist() == one_by_one(m, row)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_order_of_ranks(tmp_path, seed):
+    """Ranks that no training would give: a longer token may come before its parts."""
+    rng = random.Random(seed)
+    tokens = {"".join(rng.choices("abc", k=rng.randint(2, 5))) for _ in range(60)}
+    ranks = [bytes([b]) for b in range(256)] + [t.encode() for t in rng.sample(sorted(tokens), len(tokens))]
+    (tmp_path / "own").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    m = bpe.ByteBPE(str(tmp_path / "own"))
+    words = ["".join(rng.choices("abc", k=k)) for k in (1, 2, 3, 7, 16, 40, 90, 200, 300) for _ in range(4)] + ["a" * 77, "ab" * 50, "cab" * 60]
+    tokens, count = m.encode_pieces(words)
+    ends = np.cumsum(count)
+    assert [tokens[e - c : e].tolist() for e, c in zip(ends, count)] == [one_by_one(m, m.single[np.frombuffer(w.encode(), np.uint8)]) for w in words]
 
 
 def test_pair_table_holds_all_pairs():
@@ -63,3 +89,12 @@ def test_round_trip_of_a_table(spark, library):
     back = sorted(map(str, ((r["doc_id"], r["text"]) for r in bpe.decode_documents(out).collect())))
     assert back == sorted(map(str, ((i, t) for i, t, _ in rows)))
     assert bpe.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_tokens_that_are_none(spark):
+    rows = [(1, [50], 0), (2, [-1, 50], 0), (3, [50, 1_000_000, 50], 0), (4, [None, 50], 0), (5, [], 0), (6, None, 0), (None, [50], 0), (1, [50], 0)]
+    got = spark.createDataFrame(rows, "doc_id int, tokens array<int>, text int")
+    one = bpe.load().decode(np.array([50])).decode()
+    back = [(r["doc_id"], r["text"]) for r in bpe.decode_documents(got).collect()]
+    assert back == [(1, one), (2, "\ufffd" + one), (3, one + "\ufffd" + one), (4, "\ufffd" + one), (5, ""), (6, None), (None, one), (1, one)]
+    assert bpe.decode_documents(got.limit(0)).count() == 0
