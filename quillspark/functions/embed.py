@@ -4,7 +4,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import DimensionMismatch
@@ -40,14 +40,24 @@ def byte_embedding(data: Column, dimensions: int = 64) -> Column:
     return vectors.normalise(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.aggregate(F.filter(F.transform(values, lambda v, j: F.when(j % dimensions == i, v)), lambda v: v.isNotNull()), F.lit(0.0), lambda s, v: s + v), F.lit(0.0))))
 
 
-def model_udf(make, dimensions: int):
-    """A pandas UDF from text to vectors; make() builds the Embedder once in each worker."""
+def images(spark: SparkSession, folder: str, pattern: str = "*.{png,jpg,jpeg,gif,webp,bmp}") -> DataFrame:
+    """path and content of the image files under a folder, for model_udf(..., from_bytes=True) or byte_embedding()."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+
+def model_udf(make, dimensions: int, from_bytes: bool = False):
+    """A pandas UDF from text (or the bytes of images) to vectors; make() builds the Embedder once in each worker.
+
+    A model of both texts and images gives one UDF of each kind, so that either
+    is searched with the other's vectors.
+    """
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
         if model.dimensions != dimensions:
             raise DimensionMismatch(dimensions, model.dimensions)
         for texts in batches:
-            yield pd.Series(model.embed(texts.fillna("").tolist()))
+            given = [b"" if x is None else bytes(x) for x in texts] if from_bytes else texts.fillna("").tolist()
+            yield pd.Series(list(model.embed(given)))
 
     return F.pandas_udf(embed, "array<float>")

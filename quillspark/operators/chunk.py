@@ -8,8 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 _BREAK = re.compile(r"(?<=[.!?])\s+")
 
@@ -66,6 +67,16 @@ class Chunker:
         return out
 
 
+def register_sql(spark: SparkSession, name: str = "chunk_text", chunker: Chunker = Chunker()) -> None:
+    """Makes the chunker callable from SQL: select d.id, c.* from docs d, lateral chunk_text(d.text) c."""
+
+    class Chunks:
+        def eval(self, text: str):
+            yield from chunker.chunks(text)
+
+    spark.udtf.register(name, udtf(Chunks, returnType="chunk_index int, start_offset bigint, chunk string"))
+
+
 def chunk_documents(docs: DataFrame, chunker: Chunker = Chunker(), id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, chunk_id (id#index), chunk_index, start_offset, chunk of every document; null and blank texts have none."""
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -58,6 +58,17 @@ def lexical_rerank(hits: DataFrame, top_n: int | None = None, query_text: str =
     return marked.withColumn("new_rank", F.row_number().over(order)).drop("_head")
 
 
+def noop_rerank(hits: DataFrame) -> DataFrame:
+    """hits as they are, with new_rank the old one: for where a reranker is asked for and none is wanted."""
+    return hits.withColumn("new_rank", F.col("rank"))
+
+
+def with_dense_rows(fused: DataFrame, dense: DataFrame, columns: list[str], empty: dict[str, Column] | None = None) -> DataFrame:
+    """fused with columns of the dense list's rows (query_id, id); what the keyword list alone found is a stub, with the values of `empty` or null."""
+    joined = fused.join(dense.select("query_id", "id", *columns), ["query_id", "id"], "left")
+    return joined.select(*fused.columns, *(F.coalesce(F.col(c), (empty or {}).get(c, F.lit(None))).alias(c) for c in columns))
+
+
 def model_rerank(hits: DataFrame, make, query_text: str = "query", content: str = "text", most: int = 512) -> DataFrame:
     """hits with rerank_score and new_rank from a model of text pairs; make() builds it once in each worker.
 

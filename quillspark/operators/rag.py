@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
 from quillspark.functions import text as T
 from quillspark.operators import fusion, sparse
+from quillspark.session import cut
 
 ITEM = "[{index}] {content}"
 JOIN = "\n\n"
@@ -29,7 +32,7 @@ class Profile:
 
     top_k: int = 5
     hybrid: bool = True
-    rerank: bool = False
+    rerank: bool | str = False  # "noop": the list as it is, called reranked
     rerank_pool: bool = True
     item_template: str = ITEM
     join: str = JOIN
@@ -37,6 +40,7 @@ class Profile:
     template: str = PROMPT
     max_context_tokens: int = MAX_CONTEXT_TOKENS
     scope: tuple[str, object] | None = None
+    stubs: bool = False  # hits that keywords alone found stay without their text, as a dense index alone would know them
 
     @classmethod
     def from_json(cls, text: str) -> Profile:
@@ -138,21 +142,24 @@ def prompts(hits: DataFrame, queries: DataFrame, profile: Profile = Profile()) -
     """query_id, prompt, context_tokens for every query, also for those without hits."""
     found = context(hits, profile.item_template, profile.join)
     every = queries.join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(T.NOTHING_FOUND)))
-    cut = T.truncate(F.col("context"), profile.max_context_tokens)
-    return every.select("query_id", T.prompt(F.lit(profile.template), F.lit(profile.system), cut, F.col("query")).alias("prompt"), T.char_tokens(cut).alias("context_tokens"))
+    most = T.truncate(F.col("context"), profile.max_context_tokens)
+    return every.select("query_id", T.prompt(F.lit(profile.template), F.lit(profile.system), most, F.col("query")).alias("prompt"), T.char_tokens(most).alias("context_tokens"))
 
 
 def retrieve(docs: DataFrame, queries: DataFrame, profile: Profile = Profile(), where: Column | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """query_id, id, rank, score, content: what each query is answered from. A scope narrows both lists."""
     rows = docs if profile.scope is None else docs.where(F.coalesce(F.col(profile.scope[0]) == F.lit(profile.scope[1]), F.lit(False)))
     rows = rows if where is None else rows.where(where)
-    pool = profile.top_k * 4 if profile.rerank and profile.rerank_pool else profile.top_k
+    real = profile.rerank and profile.rerank != "noop"
+    pool = profile.top_k * 4 if real and profile.rerank_pool else profile.top_k
     if profile.hybrid:
         hits = fusion.hybrid(rows, queries, pool, id_col=id_col, text_col=text_col)
     else:
         hits = sparse.bag_cosine(rows, queries, pool, id_col, text_col)
-    hits = hits.select("query_id", "id", "score", "rank").join(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")), "id")
-    if profile.rerank:
+    stub = F.col("dense_rank").isNull() if profile.hybrid and profile.stubs else F.lit(False)
+    hits = hits.select("query_id", "id", "score", "rank", stub.alias("_stub")).join(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")), "id")
+    hits = hits.withColumn("content", F.when(F.col("_stub"), F.lit("")).otherwise(F.col("content"))).drop("_stub")
+    if real:
         hits = fusion.lexical_rerank(hits.join(queries, "query_id"), content="content").withColumn("rank", F.col("new_rank")).where(F.col("rank") <= profile.top_k)
     return hits.select("query_id", "id", "rank", "score", "content")
 
@@ -167,7 +174,7 @@ class Answer:
 
 
 def answer(docs: DataFrame, queries: DataFrame, provider: Provider | None = None, profile: Profile = Profile(), id_col: str = "id", text_col: str = "text") -> list[Answer]:
-    """Every query answered: retrieval and prompts are one plan over all of them, the model runs on the driver."""
+    """Every query answered here and now, for a caller who waits: retrieval and prompts are one plan over all of them, the model runs on the driver. answers() is for tables of queries."""
     provider = provider or Extractive()
     began = time.time()
     hits = retrieve(docs, queries, profile, id_col=id_col, text_col=text_col).persist()
@@ -177,15 +184,37 @@ def answer(docs: DataFrame, queries: DataFrame, provider: Provider | None = None
     finally:
         hits.unpersist()
     retrieved = time.time()
-    out = []
+    out, by_query = [], defaultdict(list)
+    for c in cited:
+        by_query[c["query_id"]].append(c.asDict())
     for row in asked:
         t = time.time()
         text = provider.generate(row["prompt"], max_tokens=512, temperature=0.7, top_p=0.9)
-        own = [c.asDict() for c in cited if c["query_id"] == row["query_id"]]
+        own = by_query[row["query_id"]]
         out.append(Answer(row["query_id"], text, own, row["context_tokens"], {"retrieval": (retrieved - began) * 1000, "generation": (time.time() - t) * 1000}))
     return out
 
 
+def answers(docs: DataFrame, queries: DataFrame, make=Extractive, profile: Profile = Profile(), id_col: str = "id", text_col: str = "text", **options) -> DataFrame:
+    """query_id, answer, context_tokens, citations of every query as a plan: make() builds the model once in each worker.
+
+    Nothing is gathered on the driver; a model that fails fails the job, so give
+    a Cascade where another should take over.
+    """
+    hits = cut(retrieve(docs, queries, profile, id_col=id_col, text_col=text_col))
+    asked = prompts(hits, queries, profile)
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            yield batch.assign(answer=[model.generate(p, **options) for p in batch["prompt"]])[["query_id", "answer", "context_tokens"]]
+
+    written = asked.mapInPandas(generate, f"query_id {kind}, answer string, context_tokens bigint")
+    cited = citations(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "snippet"))).alias("citations"))
+    return written.join(cited, "query_id", "left")
+
+
 def answer_stream(docs: DataFrame, query: str, provider: Provider | None = None, profile: Profile = Profile(), id_col: str = "id", text_col: str = "text") -> Iterator[tuple[str, object]]:
     """("retrieval", hits), ("generation", text) again and again, ("complete", whole text)."""
     provider = provider or Extractive()

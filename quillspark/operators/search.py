@@ -183,8 +183,8 @@ def centroids(rows: DataFrame, cell_col: str, vector_col: str = "vector") -> Dat
 
 
 def train_cells(rows: DataFrame, cells: int, rounds: int = 5, id_col: str = "id", vector_col: str = "vector", seed: int = 7) -> DataFrame:
-    """cell, centroid by Lloyd's rounds from the vectors that come first by hash; for rows to be assigned to."""
-    first = rows.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(cells)
+    """cell, centroid by Lloyd's rounds from the vectors that come first by hash; for rows to be assigned to. A cell that loses its rows stays where it was."""
+    first = rows.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), id_col).limit(cells)
     means = [(i, [float(x) for x in r[0]]) for i, r in enumerate(first.select(vector_col).collect())]
     spark = rows.sparkSession
     for _ in range(rounds):

@@ -12,7 +12,7 @@ from quillspark.functions import embed, quant
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.functions.filters import Json, Typed, condition, host_allowed, scoped
-from quillspark.operators import chunk, evaluation, fusion, rag, search, sparse
+from quillspark.operators import chunk, evaluation, fusion, graph, rag, search, sparse
 from quillspark.plans import known
 from quillspark.session import shared_folder
 from quillspark.sources import derived, exchange
@@ -319,7 +319,20 @@ def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.char_tokens(F.col("text")).alias("by_chars"), T.approx_tokens(F.col("text")).alias("approx"))
 
 
-@register("r33_chunk_documents")
+_WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
+_WEIGHT = f"greatest({_WORDS.format('{0}')}, ceil(length({{0}}) / 4)::bigint)".format
+#: Chunks by folding over sentences: where chunks begin and end, where sentences begin, short last chunks joined to the one before.
+CHUNKS = rf"""cs as (select doc_id, {_TRIM} clean, {_SENT} s from documents), cw as (select doc_id, clean, s, list_transform(s, lambda x: {_WEIGHT('x')}) w from cs where len(s) > 0),
+    cp as (select *, list_transform(range(0, len(w) + 1), lambda j: coalesce(list_sum(w[1:j]), 0)::bigint) p from cw),
+    cf as (select *, list_reduce(list_prepend({{'f': 0::bigint, 'a': []::bigint[], 'b': []::bigint[]}}, list_transform(range(0, len(w)), lambda i: {{'f': i, 'a': []::bigint[], 'b': []::bigint[]}})), lambda acc, x:
+            case when x.f > acc.f and p[x.f + 1] - p[acc.f + 1] + w[x.f + 1] > 256 then {{'f': list_max(list_filter(range(0, x.f + 1), lambda g: g = 0 or p[x.f + 1] - p[g + 1] >= 32)), 'a': list_append(acc.a, acc.f), 'b': list_append(acc.b, x.f)}} else acc end) r,
+        list_reduce(list_prepend({{'t': 0::bigint, 'o': []::bigint[], 's': ''}}, list_transform(s, lambda x: {{'t': 0::bigint, 'o': []::bigint[], 's': x}})), lambda acc, x: {{'t': acc.t + instr(substr(clean, acc.t + 1), x.s) - 1 + length(x.s), 'o': list_append(acc.o, acc.t + instr(substr(clean, acc.t + 1), x.s) - 1), 's': ''}}).o o from cp),
+    ce as (select doc_id, s, o, unnest(list_append(r.a, r.f)) a, unnest(list_append(r.b, len(s))) b, unnest(range(0, len(r.a) + 1)) e from cf),
+    cj as (select *, array_to_string(s[a + 1 : b], ' ') j from ce), cn as (select *, sum((not (e > 0 and {_WEIGHT('j')} < 64))::int) over (partition by doc_id order by e) - 1 n from cj),
+    ch as (select doc_id, n::int chunk_index, arg_min(o[a + 1], e) start_offset, string_agg(j, ' ' order by e) as chunk, doc_id || '#' || n::int chunk_id from cn group by doc_id, n)"""
+
+
+@register("r33_chunk_documents", f"with {CHUNKS} select doc_id, chunk_index, start_offset, chunk, chunk_id from ch")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_documents(table(spark, sf_dir, "documents"), id_col="doc_id").withColumnRenamed("id", "doc_id")
 
@@ -547,13 +560,21 @@ def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.regressions(before, after).select("name", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), r6("ratio"))
 
 
-@register("r60_retrieve_reranked")
+@register("r60_retrieve_reranked", f"with {_bm25_sql(k=80)}, {_bag_sql(k=80)}, {RRF}, o as (select fr.query_id, fr.id, fr.score, row_number() over (partition by fr.query_id order by {_OVERLAP.replace('br.', 'fr.')} desc, -round(fr.score, 9), fr.rank) new_rank from fr join documents d on d.doc_id = fr.id join benchmark b on b.item_id = fr.query_id where fr.rank <= 20) select query_id, id, new_rank as rank, round(score, 6) score from o where new_rank <= 5")
 def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rag.retrieve(table(spark, sf_dir, "documents"), questions(spark, sf_dir), rag.Profile(top_k=5, rerank=True), id_col="doc_id")
     return hits.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), r6("score"))
 
 
-@register("r61_trained_cells")
+def _lloyd_sql(cells: int, rounds: int) -> str:
+    near = "select vec_id, any_value(embedding) embedding, arg_min(cell, (-round(list_cosine_similarity(embedding::double[], centroid), 9), cell)) cell from embeddings, {0} group by vec_id"
+    out = [f"t0 as (select (row_number() over (order by md5(vec_id || ':7'), vec_id) - 1)::int cell, embedding::double[] centroid from embeddings qualify cell < {cells})"]
+    for r in range(rounds):
+        out.append(f"n{r} as ({near.format(f't{r}')}), u{r} as (select cell, generate_subscripts(embedding, 1) pos, unnest(embedding)::double x from n{r}), m{r} as (select cell, pos, avg(x) x from u{r} group by all), l{r} as (select cell, list(x order by pos) centroid from m{r} group by 1), t{r + 1} as (select cell, coalesce(l{r}.centroid, t{r}.centroid) centroid from t{r} left join l{r} using (cell))")
+    return ", ".join(out) + f", placed as ({near.format(f't{rounds}')})"
+
+
+@register("r61_trained_cells", f"with q as (select arg_min(embedding, vec_id)::double[] v from embeddings), {_lloyd_sql(16, 5)}, b as (select cell from t5, q order by list_cosine_similarity(centroid, q.v) desc, cell limit 6), s as (select vec_id, {COS} score from placed, q where cell in (select cell from b)) select vec_id, round(score, 6) score from s order by s.score desc, vec_id limit 10")
 def trained_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     cells = search.train_cells(rows, 16)
@@ -577,8 +598,63 @@ def postings_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(derived.search_postings(spark, path, questions(spark, sf_dir), 10))
 
 
-@register("r64_chunk_bm25")
+@register("r64_chunk_bm25", f"with {CHUNKS}, {_bm25_sql('(select chunk_id doc_id, chunk as text from ch)')} select query_id, id, rank, round(score, 6) score from br")
 def chunk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages rather than documents: both lists name a chunk by one key."""
     parts = chunk.chunk_documents(table(spark, sf_dir, "documents"), id_col="doc_id").select("chunk_id", F.col("chunk").alias("text"))
     return _ranked(sparse.bm25(parts, questions(spark, sf_dir), 10, "chunk_id"))
+
+
+@register("r65_graph_recall", "select count(*) queries, true found from embeddings where vec_id % 50 = 0")
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stored graph finds nine of ten true neighbours or more, for the rows whose id 50 divides."""
+    rows, at = vectors(spark, sf_dir), graph.GraphIndex(spark, shared(spark))
+    at.build(rows, 64)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    recall = evaluation.recall_at_k(at.search(asked, 10), search.batch_top_k(rows, asked, 10), 10)
+    return recall.select("queries", (F.col("recall") >= 0.9).alias("found"))
+
+
+@register("r66_graph_changed", "select count(*) queries, count(*) first_is_itself from embeddings where vec_id % 50 = 0 and label <> 1")
+def graph_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph built from half the rows, the others added, label 1 taken out: every query that is left finds itself first."""
+    rows, at = vectors(spark, sf_dir), graph.GraphIndex(spark, shared(spark))
+    at.build(rows.where("id % 2 = 0"), 64, shard_rows=1000)
+    at.add(rows.where("id % 2 = 1"), removed=rows.where("label = 1"))
+    at.add(rows.limit(0), removed=rows.where("label = 1"))
+    asked = rows.where("id % 50 = 0 and label <> 1").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    hits = at.search(asked, 1)
+    return hits.agg(F.count("*").alias("queries"), F.count_if(F.col("query_id") == F.col("id")).alias("first_is_itself"))
+
+
+@register("r67_stub_rows", f"with {_bm25_sql(k=20)}, {_bag_sql(k=20)}, {RRF} select fr.query_id, fr.id, fr.rank, case when fr.dense_rank is null then 0 else length(d.text) end n_chars from fr join documents d on d.doc_id = fr.id where fr.rank <= 5")
+def stub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = rag.retrieve(table(spark, sf_dir, "documents"), questions(spark, sf_dir), rag.Profile(stubs=True), id_col="doc_id")
+    return hits.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.length("content").cast("bigint").alias("n_chars"))
+
+
+@register("r68_chunk_sql", f"with {CHUNKS} select doc_id, count(*) chunks, sum(length(chunk))::bigint n_chars from ch group by 1")
+def chunk_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker called from SQL."""
+    chunk.register_sql(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("quillspark_documents")
+    return spark.sql("select d.doc_id, count(*) as chunks, sum(length(c.chunk)) as n_chars from quillspark_documents d, lateral chunk_text(d.text) c group by d.doc_id")
+
+
+@register("r69_context_fields", f"with {_bm25_sql(k=5)}, h as (select br.query_id, br.rank, '#' || rank || ' (' || printf('%.4f', round(round(score, 6), 2)) || ') ' || coalesce(d.source, '') || ' <' || d.doc_id || '> ' || coalesce(d.lang, '') || ': ' || d.text item from br join documents d on d.doc_id = br.id) select query_id, md5(string_agg(item, '|' order by rank)) digest from h group by 1")
+def context_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the item template."""
+    hits = _hits(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").withColumn("score", F.round("score", 2))
+    return rag.context(hits, "#{index} ({score}) {title} <{id}> {metadata.lang}: {content}", "|", {"lang": F.col("lang")}).select("query_id", F.md5("context").alias("digest"))
+
+
+@register("r70_stream_bm25", ORACLE_SQL["r26_bm25_after_delete"])
+def stream_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of a stream: documents first, then some of them deleted."""
+    docs, at = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), shared(spark)
+    dead = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+    feed = docs.withColumn("seq", F.lit(1)).withColumn("deleted", F.lit(False)).unionByName(dead.select("id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq"), F.lit(True).alias("deleted")))
+    feed.repartition(6, "seq").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    ingest.index_terms(stream, f"{at}/terms", f"{at}/log").awaitTermination()
+    return _ranked(ingest.search_terms(spark, f"{at}/terms", questions(spark, sf_dir), 10))

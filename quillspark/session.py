@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.errors import EngineError
+
 #: A side is broadcast by hand only if its counted rows take at most so much; a larger one shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -32,9 +34,12 @@ def create(app: str = "quillspark", master: str | None = None, **settings: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session; one is set only where none is."""
+    """The folder that all executors share, from the session; one is set only where none is and all runs on this machine."""
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{os.path.join(tempfile.gettempdir(), 'quillspark')}"
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.split("[")[0] == "local":
+        raise EngineError("a cluster needs spark.checkpoint.dir, a folder that all executors share", "NO_SHARED_FOLDER")
+    found = found or f"file://{os.path.join(tempfile.gettempdir(), 'quillspark')}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found.rstrip("/")

@@ -1,7 +1,10 @@
 """A collection: rows of id, vector, metadata and timestamp in a folder of Parquet files.
 
 Writes append; the latest row of an id counts, and a delete appends a tombstone.
-compact() rewrites the table once tombstones outnumber 0.3 of the live rows.
+compact() rewrites the table once tombstones outnumber 0.3 of the live rows. Each
+rewrite is a folder of its own: readers take the newest whole one, so they never
+see a gap, and a writer that is lost leaves the old one as it was. One writer at
+a time.
 """
 
 from __future__ import annotations
@@ -33,9 +36,31 @@ class Collection:
 
     # Tables
 
+    def _fs(self):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _versions(self) -> list[str]:
+        """Names of whole tables, oldest first."""
+        fs, at = self._fs()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("vectors-") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def _current(self) -> str:
+        return f"{self.folder}/{(self._versions() or ['vectors-00000000'])[-1]}"
+
+    def _rewrite(self, rows: DataFrame) -> None:
+        """rows as the newest table. The one before stays for readers that have begun; older ones go."""
+        old = self._versions()
+        rows.write.mode("overwrite").parquet(f"{self.folder}/vectors-{int(old[-1].split('-')[1]) + 1 if old else 0:08d}")
+        fs, _ = self._fs()
+        for name in old[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+
     def _log(self) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/vectors")
+            return self.spark.read.schema(SCHEMA).parquet(self._current())
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -52,7 +77,7 @@ class Collection:
         defaults = {"metadata": F.lit("{}"), "timestamp": F.lit(now), "seq": F.monotonically_increasing_id(), "deleted": F.lit(False)}
         columns = [F.col(c) if c in have else defaults[c].alias(c) for c in ("id", "vector", "metadata", "timestamp", "seq", "deleted")]
         out = rows.select(*columns)
-        out.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMA.split(", ")))).write.mode("append").parquet(f"{self.folder}/vectors")
+        out.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMA.split(", ")))).write.mode("append").parquet(self._current())
 
     # Single records
 
@@ -124,12 +149,12 @@ class Collection:
         return self.rows().count()
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{self.folder}/vectors")
+        self._rewrite(self.spark.createDataFrame([], SCHEMA))
 
     def destroy(self) -> None:
         """Removes the folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = self._fs()
+        fs.delete(at, True)
 
     def filter(self, spec: dict | None) -> DataFrame:
         return self.rows().where(condition(spec, Json(F.col("metadata"))))
@@ -151,19 +176,13 @@ class Collection:
         return search.top_k(self.rows(), check_vector(vector, self.dimensions), k, self.metric, where=where, keep=["metadata"], include_vectors=include_vectors)
 
     def compact(self, force: bool = False) -> bool:
-        """Rewrites the live rows if dead ones are too many; True if it did. Readers see the old table until the swap."""
+        """Rewrites the live rows if dead ones are too many; True if it did. Readers see the old table until the new one is whole."""
         log = self._log()
         live = self.rows()
         n = live.count()
         if not (force or search.needs_compaction(n, log.count() - n)):
             return False
-        fresh = f"{self.folder}/vectors-{uuid.uuid4().hex}"
-        live.withColumn("seq", F.lit(0).cast("bigint")).withColumn("deleted", F.lit(False)).write.parquet(fresh)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        new, old = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(f"{self.folder}/vectors")
-        fs = new.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        self._rewrite(live.withColumn("seq", F.lit(0).cast("bigint")).withColumn("deleted", F.lit(False)))
         return True
 
 

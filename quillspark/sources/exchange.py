@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,10 +92,13 @@ def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def validate(rows: DataFrame, envelope: dict, dimensions: int | None = None) -> None:
-    """Raises unless the version's major is 1, all vectors have the dimensions and the count is that announced."""
+    """Warns of a later minor version than this one's. Raises unless the version's major is 1, all vectors have the dimensions and the count is that announced."""
     major = str(envelope.get("version", "")).split(".")[0]
     if major != "1":
         raise ImportFailed(f"version {envelope.get('version')!r} can't be read", version=envelope.get("version"))
+    minor = (str(envelope["version"]).split(".") + ["0"])[1]
+    if minor.isdigit() and int(minor) > int(VERSION.split(".")[1]):
+        warnings.warn(f"version {envelope['version']} is later than {VERSION}: some of it may be passed over", stacklevel=2)
     facts = envelope.get("metadata") or {}
     want = dimensions or facts.get("dimensions")
     found = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull() | F.col("vector").isNull()).alias("broken"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from quillspark.operators import sparse
+from quillspark.session import fits
 from quillspark.sources.collection import Collection
 
 FILES_PER_BATCH, INTERVAL = 100, "100 milliseconds"
@@ -53,6 +55,38 @@ def term_counts(stream: DataFrame, text_col: str = "text") -> DataFrame:
     return stream.select(F.explode(F.array_distinct(tokenize(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def index_terms(stream: DataFrame, path: str, checkpoint: str, id_col: str = "id", text_col: str = "text", seq: str = "seq") -> StreamingQuery:
+    """A growing keyword index of a finite stream of documents (id, text, seq, deleted): each batch adds its postings under its own folder.
+
+    A batch that runs again writes the same folder again. A later row of an id
+    replaces the earlier one's postings when they are read; a deleted one has none.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = last_by_key(batch, id_col, seq)
+        dead = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in rows.columns else F.lit(False)
+        rows = rows.select(F.col(id_col).alias("id"), F.when(~dead, F.col(text_col)).alias("text"), F.col(seq).cast("bigint").alias("seq"), dead.alias("deleted")).persist()
+        sizes = sparse.lengths(rows)
+        sizes.join(rows.select("id", "seq", "deleted"), "id").write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
+        sparse.tokens(rows).write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def search_terms(spark: SparkSession, path: str, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    """BM25 over what index_terms() has written so far: query_id, id, score, rank."""
+    docs = spark.read.parquet(f"{path}/documents")
+    newest = docs.groupBy("id").agg(F.max_by(F.struct("batch", "dl", "deleted"), F.struct("seq", "batch")).alias("r")).select("id", "r.*").where("not deleted")
+    asked = sparse.query_terms(queries, query_id, query_text)
+    hint = F.broadcast if fits(asked) else (lambda df: df)
+    # of the postings only the query terms' are joined with the documents that hold
+    held = spark.read.parquet(f"{path}/postings").join(hint(asked.select("term").distinct()), "term").drop("dl")
+    postings = held.join(newest.select("id", "batch", "dl"), ["id", "batch"]).select("id", "term", "tf", "dl")
+    stats = newest.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return sparse.rank(postings, sparse.document_frequency(postings), stats, asked, k, hint)
+
+
 class Progress(StreamingQueryListener):
     """Rows taken in so far, and what each batch took."""
 
