@@ -1,9 +1,9 @@
 """Suffix-array deduplication of passages: per-shard suffix arrays, merged across shards.
 
-A window is min_words consecutive words (split at white space, compared byte
-for byte). It repeats if it occurs at two places, in one document or in two;
-every occurrence but the first, in order of (doc_id, text hash, position), is
-redundant.
+A window is min_words consecutive words, split at white space; words are equal if
+their 64-bit hashes are. It repeats if it occurs at two places, in one document
+or in two; every occurrence but the first, in order of (doc_id, text hash,
+position), is redundant.
 
 1. Each shard of a few MB sorts its suffixes by words (Larsson-Sadakane) and
    takes Kasai's common prefixes: windows that repeat inside the shard.
@@ -13,7 +13,11 @@ redundant.
    a run costs one header.
 3. A bucket merges the sorted runs of all shards by binary search. Windows of
    two shards are equal if their 64 bits are: of m different windows in a bucket
-   some m^2 / 2^65 pairs agree by chance.
+   some m^2 / 2^65 pairs agree by chance. No text is read again to verify one.
+
+Buckets are weighed first. Those over HOT_BYTES, where a line or a passage is in
+a great many shards, don't meet in one task: their windows are added up by hash,
+partially before they are shuffled, and joined with the first occurrence.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.frames import NOT_SPACE, buckets_for, cut, hashes, mix, pieces, rolling, sized, spans, table, utf8
+from quillspark.llm.frames import NOT_SPACE, cut, hashes, mix, pieces, rolling, sized, spans, table, utf8
 from quillspark.llm.suffix import common_prefixes, runs, suffix_array
 
 MIN_WORDS, ANCHOR_WORDS = 50, 16
 SHARD_BYTES = 3 << 20
-ROWS_PER_BUCKET = 2000
+BUCKET_BYTES, HOT_BYTES = 4 << 20, 64 << 20
 _NULL = np.iinfo(np.int64).max
 _RUN = np.dtype([("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("hash", "<i8")])
@@ -58,22 +62,45 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray, w: int, k: int, buckets: int) -> tuple[dict, list[tuple[int, bytes]]]:
-    """Rows of windows that repeat inside, and for each bucket the packed runs of first occurrences."""
+class Laid:
+    """The words of a shard's texts in a row, a separator behind each text, and the hashes of its windows."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, w: int, k: int, buckets: int):
+        starts, ends, heads = spans(buf, offs, NOT_SPACE)
+        self.words = hashes(buf, starts, ends)
+        self.count = np.diff(heads)
+        self.docs = len(offs) - 1
+        self.n = len(self.words) + self.docs
+        self.owner = np.repeat(np.arange(self.docs), self.count + 1)
+        self.first = heads[:-1] + np.arange(self.docs)
+        self.stops = self.first + self.count
+        self.is_word = np.ones(self.n, bool)
+        self.is_word[self.stops] = False
+        self.position = np.arange(self.n) - self.first[self.owner]
+        self.window = self.is_word & (self.count[self.owner] - self.position >= w)
+        values = np.zeros(self.n, np.uint64)
+        values[self.is_word] = self.words
+        self.prints = rolling(values, w)
+        self.anchors = least_of(rolling(values, k), w - k + 1)
+        # least values are not uniform: mixed again for the choice of a bucket
+        self.bucket = (mix(self.anchors) % np.uint64(buckets)).astype(np.int64)
+
+    def runs(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of windows, and where among them runs of one text and anchor begin."""
+        sent = np.flatnonzero(window)
+        new = np.ones(len(sent), bool)
+        new[1:] = (sent[1:] != sent[:-1] + 1) | (self.anchors[sent[1:]] != self.anchors[sent[:-1]])
+        return sent, np.flatnonzero(new)
+
+
+def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray, w: int, k: int, buckets: int, hot: np.ndarray) -> tuple[dict, list[tuple[int, bytes]]]:
+    """Rows of windows that repeat inside, and for each bucket that isn't hot the packed runs of first occurrences."""
     _, once = np.unique(np.stack([ids, texts]), axis=1, return_index=True)
     single = np.zeros(len(ids), bool)
     single[once] = True
-    starts, ends, heads = spans(buf, offs, NOT_SPACE)
-    words = hashes(buf, starts, ends)
-    count = np.diff(heads)
-    docs = len(ids)
-    _, sym = np.unique(words, return_inverse=True)
-    n = len(words) + docs
-    owner = np.repeat(np.arange(docs), count + 1)
-    first = heads[:-1] + np.arange(docs)
-    stops = first + count
-    is_word = np.ones(n, bool)
-    is_word[stops] = False
+    laid = Laid(buf, offs, w, k, buckets)
+    docs, n, owner, stops, is_word, position = laid.docs, laid.n, laid.owner, laid.stops, laid.is_word, laid.position
+    _, sym = np.unique(laid.words, return_inverse=True)
     symbols = np.zeros(n + 2, np.uint64)
     symbols[:n][is_word] = sym.astype(np.uint64) + np.uint64(docs)
     symbols[stops] = np.arange(docs)
@@ -85,9 +112,7 @@ def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray,
     symbols = symbols[:n].astype(np.int64)
     order, split = suffix_array(key, depth)
     lcp = common_prefixes(symbols, order, split, w)
-    position = np.arange(n) - first[owner]
-    left = count[owner] - position
-    window = is_word & (left >= w) & single[owner]
+    window = laid.window & single[owner]
     # place of each document in the order of occurrences
     place = np.empty(docs, np.int64)
     place[np.lexsort((texts, ids))] = np.arange(docs)
@@ -109,26 +134,20 @@ def shard(ids: np.ndarray, texts: np.ndarray, buf: np.ndarray, offs: np.ndarray,
     at, redundant = at[turn], redundant[turn]
     local = _span_rows(ids, texts, owner[at], position[at], redundant)
 
-    values = np.zeros(n, np.uint64)
-    values[is_word] = words
-    prints = rolling(values, w)
-    anchors = least_of(rolling(values, k), w - k + 1)
-    sent = np.flatnonzero(window)
+    if len(hot):
+        window &= ~np.isin(laid.bucket, hot)
+    sent, head = laid.runs(window)
     if not len(sent):
         return local, []
-    new = np.ones(len(sent), bool)
-    new[1:] = (sent[1:] != sent[:-1] + 1) | (anchors[sent[1:]] != anchors[sent[:-1]])
-    head = np.flatnonzero(new)
     run = np.empty(len(head), _RUN)
     run["doc"], run["at"] = owner[sent[head]], position[sent[head]]
     run["n"] = np.diff(np.append(head, len(sent)))
-    # least values are not uniform: mixed again for the choice of a bucket
-    bucket = (mix(anchors[sent[head]]) % np.uint64(buckets)).astype(np.int64)
+    bucket = laid.bucket[sent[head]]
     by = np.argsort(bucket, kind="stable")
     run, bucket, head = run[by], bucket[by], head[by]
     size = run["n"].astype(np.int64)
     starts_ = np.cumsum(size) - size
-    prints = prints[sent[np.repeat(head - starts_, size) + np.arange(int(size.sum()))]]
+    prints = laid.prints[sent[np.repeat(head - starts_, size) + np.arange(int(size.sum()))]]
     out = []
     edges = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip(np.append(0, edges), np.append(edges, len(bucket))):
@@ -204,16 +223,53 @@ def _unite(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[head], to[np.append(head[1:], len(at)) - 1] if len(at) else to
 
 
+def _hot_buckets(inner: DataFrame, w: int, k: int, buckets: int) -> np.ndarray:
+    """The buckets over HOT_BYTES, in order: at most one for that many bytes of windows."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", SHARD_BYTES):
+            laid = Laid(*utf8(piece.column(2)), w, k, buckets)
+            sent, head = laid.runs(laid.window)
+            own, at = np.unique(laid.bucket[sent[head]], return_inverse=True)
+            size = np.bincount(at, _RUN.itemsize + 8 * np.diff(np.append(head, len(sent))), len(own)) if len(own) else np.zeros(0)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(own, pa.int64()), "size": pa.array(size.astype(np.int64))})
+
+    weighed = inner.mapInArrow(weigh, "bucket bigint, size bigint").groupBy("bucket").agg(F.sum("size").alias("size"))
+    return np.sort(weighed.where(F.col("size") > HOT_BYTES).select("bucket").toArrow().column(0).to_numpy())
+
+
+def _hot_windows(inner: DataFrame, w: int, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Windows of hot buckets that repeat: id, hash, at, n (1), redundant."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", SHARD_BYTES):
+            laid = Laid(*utf8(piece.column(2)), w, k, buckets)
+            at = np.flatnonzero(laid.window & np.isin(laid.bucket, hot))
+            own = pa.array(laid.owner[at])
+            yield pa.RecordBatch.from_arrays([pa.array(laid.prints[at].view(np.int64)), piece.column(0).take(own), piece.column(1).take(own), pa.array(laid.position[at])], names=["print", "id", "hash", "at"])
+
+    # a repeated row of one document is one occurrence
+    every = cut(inner.mapInArrow(list_, "print bigint, id bigint, hash bigint, at bigint").distinct())
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "at")
+    first = every.groupBy("print").agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1").select(F.col("print").alias("q_print"), "first")
+    # adaptive execution splits the many rows of one print
+    met = every.join(first, F.col("print") == F.col("q_print"))
+    return met.select("id", "hash", "at", F.lit(1).cast("bigint").alias("n"), (place != F.col("first")).alias("redundant"))
+
+
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, anchor_words: int) -> DataFrame:
     """One row for each document with a repeated window: id, hash of the text, runs (at, n, redundant)."""
-    buckets = buckets_for(docs, ROWS_PER_BUCKET)
     nothing = {"id": 0, "hash": 0, "at": 0, "n": 0, "redundant": False}
+    inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).where("text is not null")
+    size = inner.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
+    hot = _hot_buckets(inner, min_words, anchor_words, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, piece in enumerate(pieces(batches, "text", SHARD_BYTES)):
             ids = piece.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
             texts = piece.column(1).to_numpy(zero_copy_only=False)
-            local, blobs = shard(ids, texts, *utf8(piece.column(2)), min_words, anchor_words, buckets)
+            local, blobs = shard(ids, texts, *utf8(piece.column(2)), min_words, anchor_words, buckets, hot)
             n = len(local["id"])
             if n:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(n, (int(texts[0]) + turn) % buckets, np.int32)), "blob": pa.nulls(n, pa.binary()), **local})
@@ -225,8 +281,9 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int
         blobs = group.column("blob").drop_null().to_pylist()
         return pa.concat_tables([inside, pa.table(merge(blobs)).cast(inside.schema)]) if blobs else inside
 
-    inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).where("text is not null")
     found = inner.mapInArrow(send, f"bucket int, blob binary, {_SPAN}").groupBy("bucket").applyInArrow(receive, _SPAN)
+    if len(hot):
+        found = found.unionByName(_hot_windows(inner, min_words, anchor_words, buckets, hot))
     return found.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "n", "redundant")).alias("runs"))
 
 
@@ -238,7 +295,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     passage at its first place. Null texts and texts shorter than min_words have
     no window. Repeated rows (same id and text) are one document; equal texts
     under two ids are two. Null ids come last in the order of occurrences and
-    stay null. Other columns are not read.
+    stay null. An empty table gives no row; texts of any length are taken whole.
+    Other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,8 +84,8 @@ def brute_passages(docs, w):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_passages_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, hot", [(1, None), (2, 1 << 30), (3, 600), (4, 0)])
+def test_passages_equal_brute_force(spark, seed, hot, monkeypatch):
     rng = random.Random(seed)
     shared = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(12)) for _ in range(4)]
     docs = {}
@@ -96,9 +96,15 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
         docs[d] = " ".join(p for p in parts if p)
     docs[30] = docs[0]
     docs[31] = "word " * 40
+    # a passage in every shard, with another neighbour each time
+    everywhere = " ".join(f"all{i}" for i in range(11))
+    for d in range(32, 60):
+        docs[d] = f"{rng.random()} {everywhere} {rng.random()} tail"
     # many small shards, so that passages meet in the merge
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 400)
-    monkeypatch.setattr(suffix_dedup, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
+    if hot is not None:
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     rows = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
     got = {tuple(r) for r in suffix_dedup.repeated_passages(rows, min_words=8, anchor_words=3).collect()}
     assert got == {x for x in brute_passages(docs, 8)}
@@ -125,12 +131,15 @@ def test_windows_of_different_words_are_not_equal():
         blobs = []
         for doc, j in enumerate((turn[i], turn[i + 1])):
             text = " ".join(vocabulary[x] for x in (least, a[j], b[j]))
-            blobs += suffix_dedup.shard(np.array([doc]), np.array([doc]), *packed(text), 3, 1, 1)[1]
+            blobs += suffix_dedup.shard(np.array([doc]), np.array([doc]), *packed(text), 3, 1, 1, np.zeros(0, np.int64))[1]
         assert len(blobs) == 2 and not len(suffix_dedup.merge([x for _, x in blobs])["id"])
-        assert len(suffix_dedup.merge([blobs[0][1], suffix_dedup.shard(np.array([9]), np.array([9]), *packed(" ".join(vocabulary[x] for x in (least, a[turn[i]], b[turn[i]]))), 3, 1, 1)[1][0][1]])["id"]) == 2
+        assert len(suffix_dedup.merge([blobs[0][1], suffix_dedup.shard(np.array([9]), np.array([9]), *packed(" ".join(vocabulary[x] for x in (least, a[turn[i]], b[turn[i]]))), 3, 1, 1, np.zeros(0, np.int64))[1][0][1]])["id"]) == 2
 
 
-def test_cut_keeps_each_passage_once(spark):
+@pytest.mark.parametrize("hot", [None, 0])
+def test_cut_keeps_each_passage_once(spark, hot, monkeypatch):
+    if hot is not None:
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     passage = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"start one {passage} end one", 7, "a"), (2, f"start two {passage}\nlast two", 7, "b"), (3, passage, 7, None), (4, None, 7, "d"), (5, "", None, "e"), (None, "free text", 9, "f"), (2, f"start two {passage}\nlast two", 7, "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, at string")
@@ -138,3 +147,28 @@ def test_cut_keeps_each_passage_once(spark):
     assert got == {(1, f"start one {passage} end one", 7, "a"), (2, "start two last two", 18, "b"), (4, None, 7, "d"), (5, "", None, "e"), (None, "free text", 9, "f")}
     assert suffix_dedup.cut_repeats(docs.limit(0)).count() == 0
     assert suffix_dedup.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_found_by_their_weight(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, f"{passage} {i}") for i in range(300)] + [(300 + i, " ".join(f"x{i}y{j}" for j in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) h", "text").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    assert 1 <= len(suffix_dedup._hot_buckets(docs, 50, 16, 64)) <= 4
+
+
+def test_long_texts(spark):
+    """Texts longer than a shard, one of which repeats a passage of another."""
+    rng = random.Random(1)
+    words = [" ".join(str(rng.randrange(10**9)) for _ in range(40_000)) for _ in range(2)]
+    passage = " ".join(words[0].split()[1000:1100])
+    docs = spark.createDataFrame([(1, words[0]), (2, f"{words[1]} {passage}")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.repeated_passages(docs).collect()) == [(1, 1000, 1100, 0), (2, 40_000, 40_100, 100)]
+    left = {r["doc_id"]: r["text"].rstrip() for r in suffix_dedup.cut_repeats(docs).collect()}
+    assert left == {1: words[0], 2: words[1]}
+
+
+def test_long_text_of_one_character(spark):
+    rows = spark.createDataFrame([(1, "x" * 300_000), (2, " ".join(f"{i * 7919 % 1000003}" for i in range(40_000)))], "doc_id int, text string")
+    got = {r["doc_id"]: (r["n_chars"], r["keep"]) for r in quality.repetition_report(rows).collect()}
+    assert got[1] == (300_000, False) and got[2][1]
