@@ -29,7 +29,8 @@ from quillspark.llm.frames import mix, pieces, shared_dir, utf8
 
 ORDER = 4
 #: Text that is coded at a time, text of a batch, and text whose contexts make a bucket: how the work is cut, not what it gives.
-STEP_BYTES, BATCH_BYTES, BUCKET_BYTES = 2 << 20, 64 << 20, 32 << 20
+STEP_BYTES, BATCH_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20, 32 << 20
+MOST_TASKS = 20_000
 _U = np.uint64
 _TAG = _U(56)
 
@@ -398,9 +399,11 @@ def score(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
     rows = _numbered(inner, f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}")
-    size = rows.agg(F.sum("size")).first()[0] or 0
+    size, batches = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_distinct("batch")).first()
     buckets = max(8, -(-size // BUCKET_BYTES))
-    asked = rows.select("batch", "text").where("text <> ''").mapInArrow(lambda batches: _asked(batches, order, buckets), "bucket int, batch bigint, blob binary")
+    # tasks follow the input: a batch or a bucket each, give or take a collision; beyond MOST_TASKS several, one after the other
+    tasks, bucket_tasks = min(max(8, 4 * batches), MOST_TASKS), min(buckets, MOST_TASKS)
+    asked = rows.select("batch", "text").where("text <> ''").mapInArrow(lambda batches: _asked(batches, order, buckets), "bucket int, batch bigint, blob binary").repartition(bucket_tasks, "bucket")
 
     def add_up(group: pa.Table) -> pa.Table:
         parts = [_unpacked(b) for b in group.column("blob").to_pylist()]
@@ -418,7 +421,7 @@ def score(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
                 own = _bucket(batch.column(0).to_numpy().view(_U), buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns], names=["bucket", "key", "n"])
 
-        held = spark.read.parquet(model).select("key", "n").mapInArrow(place, "bucket int, key bigint, n bigint")
+        held = spark.read.parquet(model).select("key", "n").mapInArrow(place, "bucket int, key bigint, n bigint").repartition(bucket_tasks, "bucket")
         parts = asked.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(look_up, "batch bigint, blob binary")
 
     def code(texts: pa.Table, trie: pa.Table) -> pa.Table:
@@ -436,7 +439,7 @@ def score(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", tex
         empty = pa.schema([("id", texts.schema.field("id").type), ("n_bytes", pa.int64()), ("code_bits", pa.float64()), ("bits_per_byte", pa.float64())])
         return pa.Table.from_batches(out, empty)
 
-    coded = rows.select("batch", "id", "text").groupBy("batch").cogroup(parts.groupBy("batch")).applyInArrow(code, f"id {kind}, {_SCORES}")
+    coded = rows.select("batch", "id", "text").repartition(tasks, "batch").groupBy("batch").cogroup(parts.repartition(tasks, "batch").groupBy("batch")).applyInArrow(code, f"id {kind}, {_SCORES}")
     return coded.withColumnRenamed("id", id_col)
 
 
