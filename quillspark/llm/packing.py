@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.frames import BROADCAST_BYTES, NOT_SPACE, cut, pieces, spans, utf8
@@ -107,6 +107,23 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_tokens bigint")
 
 
+def _hot_ids(rows: DataFrame, per_partition: int) -> DataFrame | None:
+    """Ids (null among them) that so many rows of one length have that they would fill a tenth of a partition; none in most tables."""
+    counted = rows.groupBy("id", "n").agg(F.count("*").alias("rows")).where(F.col("rows") * 10 > per_partition)
+    found = cut(counted.select(F.col("id").alias("q_id"), F.lit(True).alias("hot")).distinct())
+    n = found.count()
+    if not n:
+        return None
+    return F.broadcast(found) if n * 16 <= BROADCAST_BYTES else found
+
+
+def _salted(rows: DataFrame, hot: DataFrame | None, salt: Column) -> DataFrame:
+    """rows with a salt: the given one for hot ids, null for others."""
+    if hot is None:
+        return rows.withColumn("salt", F.lit(None).cast("bigint"))
+    return rows.withColumn("own", salt).join(hot, F.col("id").eqNullSafe(F.col("q_id")), "left").withColumn("salt", F.when(F.col("hot"), F.col("own"))).drop("own", "q_id", "hot")
+
+
 def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = DOCS_PER_PARTITION) -> DataFrame:
     """Bins of the documents in lengths (id, n_tokens): one row for each bin.
 
@@ -117,12 +134,16 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
     the number of fruitless rounds of exchange in a row that end it. A document over capacity is cut into
     pieces of capacity, which fill a bin each, and a rest. Null lengths, and
     those of 0 or less, are in no bin; repeated rows are packed each; null ids
-    stay null.
+    stay null; an empty table has no bin. Other columns are not read, whatever
+    their names. Any counts will do: those of encode_documents(), say, for bins
+    of a model's own tokens.
     """
     rows = cut(lengths.select("id", F.col("n_tokens").cast("bigint").alias("n")).where("n > 0"))
     parts = max(1, -(-rows.count() // per_partition))
-    part = F.pmod(F.xxhash64("id", "n"), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
-    rows = rows.withColumn("part", part)
+    hot = _hot_ids(rows, per_partition) if parts > 1 else None
+    # a null adds nothing to a hash: only rows of a hot id are told apart, by their number; they are kept, so it stays
+    part = F.pmod(F.xxhash64("id", "n", "salt"), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
+    rows = _salted(rows, hot, F.monotonically_increasing_id()).withColumn("part", part).drop("salt")
     size = F.least(F.lit(capacity), F.col("n") - F.col("start"))
     items = rows.select("part", "id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(capacity).cast("bigint"))).alias("start")).select("part", "id", "start", size.alias("size"))
     bins = cut(items.groupBy("part").applyInArrow(_pack(capacity), _BIN))
@@ -141,9 +162,9 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
         names = spark.createDataFrame(list(enumerate(gaps)), "turn bigint, to bigint")
         names = F.broadcast(names) if len(gaps) * 16 <= BROADCAST_BYTES else names
         before = bins.where(chosen)
-        held = before.select("part", (F.col("n_tokens") < capacity).alias("loose"), F.explode(F.arrays_zip("doc_ids", "start_tokens", "sizes")).alias("x"))
-        held = held.select("part", "loose", F.col("x.doc_ids").alias("id"), F.col("x.start_tokens").alias("start"), F.col("x.sizes").alias("size"))
-        held = held.withColumn("turn", F.pmod(F.xxhash64("id", "start", "size", F.lit(turn)), F.lit(len(gaps)))).join(names, "turn")
+        held = before.select("part", "bin", (F.col("n_tokens") < capacity).alias("loose"), F.explode(F.arrays_zip("doc_ids", "start_tokens", "sizes")).alias("x"))
+        held = held.select("part", "bin", "loose", F.col("x.doc_ids").alias("id"), F.col("x.start_tokens").alias("start"), F.col("x.sizes").alias("size"))
+        held = _salted(held, hot, F.xxhash64("part", "bin")).withColumn("turn", F.pmod(F.xxhash64("id", "start", "size", F.lit(turn), "salt"), F.lit(len(gaps)))).join(names, "turn")
         held = held.select(F.when(F.col("loose"), F.col("to")).otherwise(F.col("part")).alias("part"), "id", "start", "size")
         after = cut(held.groupBy("part").applyInArrow(_pack(capacity), _BIN))
         turn += 1
@@ -157,5 +178,9 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, rounds: int = ROUNDS, per_partition: int = DOCS_PER_PARTITION) -> DataFrame:
-    """pack() of the texts' tokens: see there. Empty and null texts are in no bin; other columns are not read."""
+    """pack() of the texts' words at white space, which stand for tokens: see there.
+
+    Null, empty and blank texts are in no bin, long ones are cut; repeated rows
+    are packed each, an empty table has no bin, other columns are not read.
+    """
     return pack(token_counts(docs, id_col, text_col), capacity, rounds, per_partition)

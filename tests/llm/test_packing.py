@@ -101,3 +101,21 @@ def test_documents_and_edges(spark):
     assert sum(r["n_tokens"] for r in got) == 3 + 2 + 3 + 5000 and len(got) == 2 + 1 + 1250
     assert sorted(str(d) for r in got for d in set(r["doc_ids"]) if d != 4) == ["1", "1", "None"]
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    """A third of all rows without an id and of one length doesn't make one partition."""
+    rows = spark.createDataFrame([(None, 7)] * 300 + [(i, 5) for i in range(600)], "id bigint, n_tokens bigint")
+    got = packing.pack(rows, 100, rounds=1, per_partition=90).collect()
+    pieces = {}
+    for r in got:
+        pieces[r["part"]] = pieces.get(r["part"], 0) + len(r["sizes"])
+    assert sum(pieces.values()) == 900 and len(pieces) == 10 and max(pieces.values()) < 180
+
+
+def test_a_models_own_tokens(spark):
+    from quillspark.llm import bpe
+
+    docs = spark.createDataFrame([(i, f"Some text number {i} with words. " * (i + 1)) for i in range(20)], "doc_id bigint, text string")
+    tokens = bpe.encode_documents(docs).selectExpr("doc_id as id", "n_tokens")
+    check(packing.pack(tokens, 64).collect(), {r["id"]: r["n_tokens"] for r in tokens.collect()}, 64)
