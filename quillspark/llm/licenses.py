@@ -19,6 +19,7 @@ from quillspark.llm.frames import WORD_BYTE, cut, fold, hashes, pieces, rolling,
 
 K, SLACK, MIN_SIMILARITY = 3, 3, 0.7
 STEP_BYTES = 2 << 20
+TEMPLATE_BYTES = 16 << 20
 
 #: Notices as they stand in files and pages, by license. One license can have several.
 TEMPLATES: list[tuple[str, str]] = [
@@ -45,6 +46,15 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def read_templates(table: DataFrame, license_col: str = "license", text_col: str = "text") -> list[tuple[str, str]]:
+    """Templates of a table, by license and text; nulls are left out. All workers hold them, so more than TEMPLATE_BYTES of text are refused."""
+    rows = table.select(F.col(license_col).cast("string").alias("license"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates are more than {TEMPLATE_BYTES}")
+    return [(r["license"], r["text"]) for r in rows.orderBy("license", "text").collect()]
+
+
 def words_of(text: str) -> np.ndarray:
     """Hash of every word of one text, in lower case."""
     buf = fold(np.frombuffer(text.encode(), np.uint8))
@@ -74,19 +84,23 @@ def postings(templates: list[tuple[str, str]], k: int) -> list[tuple[int, int, i
     return out
 
 
-def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, k: int = K, slack: int = SLACK, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | DataFrame | None = None, k: int = K, slack: int = SLACK, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Every verified notice: id, license, template, start_word, end_word (exclusive), votes, similarity.
 
+    templates are pairs of a license and a text, or a table of them (whole
+    licenses, say): see read_templates().
+
     Diagonals at most slack apart merge. The span is that of the votes, widened
     by the template's words before the first and after the last of them, and
     stands if its similarity to the template is min_similarity or more. Of claims
     on overlapping words the most similar stands, then the longest, then the
     first template's. Null and
     empty texts have no notice; repeated rows (same id and text) are scanned as
-    one; equal texts under two ids each have theirs. Null ids stay null. Other
-    columns are not read.
+    one; equal texts under two ids each have theirs. Null ids stay null, an empty
+    table gives no row, texts are read whole. Other columns are not read,
+    whatever their names.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = TEMPLATES if templates is None else read_templates(templates) if isinstance(templates, DataFrame) else templates
     spark: SparkSession = docs.sparkSession
     inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text <> ''").withColumn("hash", F.xxhash64("text"))
 

@@ -67,3 +67,13 @@ def test_edges(spark):
     got = sorted((str(r["doc_id"]), r["license"], r["start_word"], r["end_word"]) for r in L.license_spans(docs).collect())
     assert got == [("1", "Apache-2.0", 0, 8), ("2", "Apache-2.0", 0, 8), ("5", "Apache-2.0", 50000, 50008), ("None", "Apache-2.0", 0, 8), ("None", "Apache-2.0", 8, 16)]
     assert L.license_spans(docs.limit(0)).count() == 0 and L.license_spans(docs, templates=[]).count() == 0
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    own = spark.createDataFrame([("House-1", "every reader of this house may copy the house rules freely", 1), ("House-1", "every reader of this house may copy the house rules freely", 1), (None, "x y z w", 1), ("House-2", None, 1)], "license string, text string, k int")
+    assert L.read_templates(own) == [("House-1", "every reader of this house may copy the house rules freely")]
+    docs = spark.createDataFrame([(1, "so: Every reader of this house may copy the house rules freely!"), (2, "other")], "doc_id bigint, text string")
+    assert [(r["doc_id"], r["license"], r["start_word"]) for r in L.license_spans(docs, templates=own).collect()] == [(1, "House-1", 1)]
+    monkeypatch.setattr(L, "TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        L.read_templates(own)
