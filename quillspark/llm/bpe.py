@@ -11,18 +11,20 @@ are merged in the same round; a row where one does goes back to the leftmost.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.frames import mix, pieces, utf8
 
-#: Where the public rank files are; executors read it too.
+#: Where the public rank file is on the driver's machine; executors without it get a copy.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 STEP_BYTES = 2 << 20
@@ -194,7 +196,14 @@ class ByteBPE:
 
 @lru_cache(maxsize=4)
 def load(path: str = VOCABULARY, pattern: str = PATTERN) -> ByteBPE:
-    return ByteBPE(path, pattern)
+    """The vocabulary at that path, or the copy of it that ship() sent to this worker."""
+    return ByteBPE(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
+
+
+def ship(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary of the driver's machine to all executors, once."""
+    if os.path.exists(path) and os.path.basename(path) not in {f.rsplit("/", 1)[-1] for f in spark.sparkContext.listFiles}:
+        spark.sparkContext.addFile(path)
 
 
 class Known:
@@ -246,6 +255,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pass through, an empty table gives no row, other columns are not read,
     whatever their names. Texts and pieces of any length go the same way.
     """
+    ship(docs.sparkSession, vocabulary)
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
 
@@ -288,6 +298,7 @@ def decode_documents(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str
     of the vocabulary. Null ids and repeated rows pass through, an empty table
     gives no row, other columns are not read.
     """
+    ship(tokens.sparkSession, vocabulary)
     inner = tokens.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
     kind = inner.schema["id"].dataType.simpleString()
 
