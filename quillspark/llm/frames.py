@@ -36,11 +36,13 @@ _BYTE = mix((np.arange(256, dtype=_U) + _U(1)) * RADIX)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; set here only where it is unset."""
+    """The folder all executors share, from the session; set here only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         found = context.getCheckpointDir()
+    if not found and context.master.split("[")[0] != "local":
+        raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     if not found:
         found = os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
     if context.getCheckpointDir() is None:
@@ -59,11 +61,6 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def buckets_for(docs: DataFrame, per_bucket: int) -> int:
-    """How many exchange buckets an input needs; it follows the row count alone."""
-    return max(8, -(-docs.count() // per_bucket))
-
-
 def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Each batch in slices of at most so many bytes of text, one row at least."""
     for batch in batches:
@@ -162,12 +159,6 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(np.where(size > 0, np.add.reduceat(values, np.minimum(at, max(len(values) - 1, 0))), _U(0)) + size.astype(_U)) if len(values) else mix(size.astype(_U))
 
 
-def hash_text(word: str) -> int:
-    """hashes() of one string."""
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive values; as many as there are values, those at the end not meaningful."""
     n = len(values)
@@ -184,11 +175,6 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def characters(buf: np.ndarray) -> np.ndarray:
-    """Characters before each byte; one more at the end."""
-    return np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-
-
 def table(batch: pa.RecordBatch, names: list[str], **columns) -> pa.RecordBatch:
     """The named columns of batch and then new ones."""
     arrays = [batch.column(n) for n in names] + [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()]

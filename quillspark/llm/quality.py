@@ -84,7 +84,11 @@ def repetition_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_unrepetitive(docs: DataFrame, text_col: str = "text", min_length: int = MIN_LENGTH, max_fraction: float = MAX_FRACTION, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """The rows that repetition_report() keeps, all columns unchanged; no shuffle."""
+    """The rows that repetition_report() keeps, all columns unchanged whatever their names; no shuffle.
+
+    Null, empty and short texts stay, repeated rows are judged each by itself,
+    an empty table stays empty.
+    """
 
     def keeps(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         out, at = np.ones(len(offs) - 1, bool), 0

@@ -232,7 +232,11 @@ def toxic_report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
-    """The rows that toxic_report() doesn't call toxic, all columns unchanged; no shuffle."""
+    """The rows that toxic_report() doesn't call toxic, all columns unchanged whatever their names; no shuffle.
+
+    Null and empty texts stay, each repeated row is judged by itself, an empty
+    table stays empty.
+    """
 
     def keeps(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         out = np.ones(len(offs) - 1, bool)

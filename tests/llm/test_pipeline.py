@@ -68,5 +68,33 @@ def test_each_stage_reads_what_the_last_one_wrote(spark, tmp_path, monkeypatch):
         assert files and all(shared in f and f"/{name}/" in f for f in files)
 
 
+def test_odd_tables(spark, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated rows, clashing names, no rows."""
+    rng = random.Random(3)
+    words = [str(rng.randrange(10**8)) for _ in range(150_000)]
+    rows = [(1, "short text", "en", "s", 10), (1, "short text", "en", "s", 10), (None, "no id at all", None, None, None), (2, None, None, None, None), (3, "", "", "", 0), (4, " \n ", "en", "s", 3), (5, " ".join(words), "en", "s", None), (6, " ".join(words[:60]) + " and more", "en", "s", 1)]
+    more = [(f"{i}", i, None) for i in range(len(rows))]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, hash string, q_id int, part string"
+    spark.createDataFrame([r + m for r, m in zip(rows, more)], names).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 1), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    sf = f"file://{tmp_path}/a"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"{sf}/stage{n}")
+        docs = spark.read.parquet(f"{sf}/stage{n}")
+        if name == "suffix_array_dedup":
+            last = {r["doc_id"]: r for r in docs.collect()}
+            assert docs.count() == 7 and set(last) == {1, None, 2, 3, 4, 5, 6} and last[6]["text"].strip() == "and more" and last[6]["n_chars"] == len(last[6]["text"])
+            assert last[5]["text"].split() == words and last[2]["text"] is None
+    held = docs.collect()
+    assert sum(r["n_tokens"] for r in held) == 2 + 4 + 150_000 + 2 and all(r["n_tokens"] <= 2048 for r in held)
+    spark.createDataFrame([], names).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").count() == 0
+
+
 def test_ten_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

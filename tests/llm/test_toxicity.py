@@ -107,6 +107,9 @@ def test_held_out_accuracy_and_edges(spark):
     left = T.drop_toxic(other, model)
     assert left.columns == other.columns and {r["doc_id"] for r in left.collect()} == set(range(200)) - called
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot scum trash idiot scum"), (3, "idiot scum " * 20000)], "doc_id bigint, text string")
+    twice = spark.createDataFrame([(7, "idiot scum trash idiot scum", "a")] * 3 + [(8, "plain words", "b")] * 2, "doc_id bigint, text string, toxic string")
+    assert sorted((r["doc_id"], r["toxic"]) for r in T.toxic_report(twice, model).collect()) == [(7, True)] * 3 + [(8, False)] * 2
+    assert sorted(r["doc_id"] for r in T.drop_toxic(twice, model).collect()) == [8, 8] and T.drop_toxic(twice, model).columns == twice.columns
     assert {(r["doc_id"], r["n_tokens"], r["toxic"]) for r in T.toxic_report(odd, model).collect()} == {(1, 0, False), (2, 0, False), (None, 5, True), (3, 40000, True)}
     assert T.toxic_report(odd.limit(0), model).count() == 0
 
