@@ -8,6 +8,7 @@ import json
 import os
 import sys
 from collections.abc import Iterable, Iterator
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,31 @@ def serve(tools: Tools, lines: Iterable[str]) -> Iterator[str]:
             yield json.dumps({"error": {"code": getattr(e, "code", type(e).__name__), "message": str(e)}})
 
 
+def http_server(tools: Tools, port: int = 0) -> ThreadingHTTPServer:
+    """A server on this machine alone: GET lists the tools, POST takes what a line of serve() is."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _send(self, body: str) -> None:
+            raw = body.encode()
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def do_GET(self) -> None:
+            self._send(json.dumps([{"name": t.name, "description": t.description, "schema": t.schema} for t in tools.tools.values()]))
+
+        def do_POST(self) -> None:
+            line = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
+            self._send(next(serve(tools, [line]), "{}"))
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return ThreadingHTTPServer(("127.0.0.1", port), Handler)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillspark")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -50,6 +76,8 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--dimensions", type=int, required=True)
         if name in ("export", "import"):
             p.add_argument("path")
+        if name == "serve":
+            p.add_argument("--port", type=int, help="over HTTP rather than lines")
         if name == "export":
             p.add_argument("--format", choices=("ndjson", "json"), default="ndjson")
             p.add_argument("--chunk", type=int, default=100)
@@ -76,6 +104,8 @@ def main(argv: list[str] | None = None) -> int:
         held.clear()
         return 0
     if args.command == "serve":
+        if args.port is not None:
+            http_server(Tools(held), args.port).serve_forever()
         for line in serve(Tools(held), sys.stdin):
             print(line, flush=True)
         return 0

@@ -1,8 +1,10 @@
 """Embeddings without a model file, and the contract that a model fulfils."""
 
+import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,39 @@ def hash_embedding(text: Column, dimensions: int = 64) -> Column:
     return let(raw, vectors.normalise)
 
 
+class HashEmbedder:
+    """hash_embedding() as an Embedder: no model, the same text always the same vector."""
+
+    def __init__(self, dimensions: int = 64):
+        self.dimensions = dimensions
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            h = 0
+            for c in text:
+                h = (h * 31 + ord(c)) % 2**32
+            h = h - 2**32 if h >= 2**31 else h
+            raw = [math.sin(float(h + i)) * 0.5 for i in range(self.dimensions)]
+            length = math.sqrt(sum(x * x for x in raw))
+            out.append([x / length if length else x for x in raw])
+        return out
+
+
+def vectors_of(output, dimensions: int | None = None) -> list[list[float]]:
+    """What a model gives for a batch, as one vector a text: one vector alone, a list of them, token states (pooled by their mean), or {"data", "dims"} of a flat array."""
+    if isinstance(output, dict):
+        output = np.asarray(output["data"], np.float64).reshape(output["dims"])
+    x = np.asarray(output, np.float64)
+    if x.ndim == 1:
+        x = x.reshape(-1, dimensions or len(x))
+    if x.ndim == 3:
+        x = x.mean(axis=1)
+    if x.ndim != 2 or (dimensions and x.shape[1] != dimensions):
+        raise DimensionMismatch(dimensions or 0, x.shape[-1])
+    return x.tolist()
+
+
 def mean_pool(states: Column, tokens: int, width: int) -> Column:
     """The mean over tokens of a flat [tokens, width] array, to length 1."""
     mean = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda t: F.element_at(states, (t * width + j + 1).cast("int")).cast("double")), F.lit(0.0), lambda s, x: s + x) / tokens)

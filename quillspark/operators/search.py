@@ -36,6 +36,18 @@ def top_k(rows: DataFrame, vector, k: int, metric: str = "cosine", id_col: str =
     return scored(rows, literal(vector), metric, vector_col).select(*columns).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def allowed_top_k(rows: DataFrame, allowed: DataFrame, vector, k: int, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """top_k() among the rows whose ids are in a table: the ids come before the search, so k hits come back if so many are allowed."""
+    return top_k(rows.join(allowed.select(id_col).distinct(), id_col, "left_semi"), vector, k, metric, id_col, vector_col)
+
+
+def distinct_hits(hits: DataFrame, query_id: str = "query_id", id_col: str = "id") -> DataFrame:
+    """hits with each id once for a query, where it scores best, ranked anew: for lists that met in several indexes."""
+    best = hits.groupBy(query_id, id_col).agg(F.max("score").alias("score"))
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    return best.withColumn("rank", F.row_number().over(order))
+
+
 def post_filtered(rows: DataFrame, vector, k: int, where: Column, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", overscan: int = OVERSCAN) -> DataFrame:
     """The filter over the max(overscan, k) nearest alone, so that fewer than k can come back."""
     check_k(k)

@@ -7,6 +7,7 @@ are taken to be unique, as a collection's are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from quillspark.session import BROADCAST_BYTES, cut
 K1, B = 1.5, 0.75
 #: What a query term takes at most of memory, for the bound on those that go to every task.
 TERM_BYTES = 64
+#: Scores that are held at a time: queries times documents.
+CELLS = 2 << 20
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,21 +88,71 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str
 
 
 class Profiles:
-    """Documents as a search needs them: rows of id, dl, norm, kept and words (term, tf) of the query terms; the queries' own terms; how to join with those."""
+    """Documents as a search needs them: rows of id, dl, norm, kept and words (term, tf) of the query terms; and the queries' terms, here too if they are few."""
 
-    def __init__(self, rows: DataFrame, asked: DataFrame, few: bool):
-        self.rows, self.asked = rows, asked
-        # the queries bound every side that follows from them
-        self.hint = F.broadcast if few else (lambda df: df)
+    def __init__(self, rows: DataFrame, asked: DataFrame, known: list[tuple] | None, kind: pa.DataType):
+        self.rows, self.asked, self.known, self.kind = rows, asked, known, kind
+        self._facts: tuple[int, float, dict[str, int]] | None = None
 
     def kept(self) -> Profiles:
-        out = Profiles(self.rows.where("kept"), self.asked, True)
-        out.hint = self.hint
-        return out
+        return Profiles(self.rows.where("kept"), self.asked, self.known, self.kind)
 
     def postings(self) -> DataFrame:
         return self.rows.select("id", "dl", "norm", F.inline("words"))
 
+    def facts(self) -> tuple[int, float, dict[str, int]]:
+        """Number of documents, mean length, and in how many each of the few query terms is."""
+        if self._facts is None:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    found = batch.column(1).flatten().field("term").dictionary_encode()
+                    n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                    yield pa.RecordBatch.from_pydict({"term": pa.concat_arrays([found.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), "df": pa.array(np.append(n, batch.num_rows)), "dl": pa.array(np.append(np.zeros_like(n), pc.sum(batch.column(0)).as_py() or 0))})
+
+            counted = self.rows.select("dl", "words").mapInArrow(run, "term string, df bigint, dl bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl")).collect()
+            every = next((r for r in counted if r["term"] is None), None)
+            n = every["df"] if every else 0
+            self._facts = n, every["dl"] / n if n else 0.0, {r["term"]: r["df"] for r in counted if r["term"] is not None}
+        return self._facts
+
+    def best(self, weights: list[tuple], value, k: int) -> DataFrame:
+        """query_id, id, score, rank: the k best of each query by the sum of weight times value(tf, dl, norm) over its terms.
+
+        weights: query_id, term, weight. A dense block of queries by documents is
+        added up at a time, and only the best of it leave it.
+        """
+        weights = sorted(weights, key=lambda x: x[1])
+        names = list({q: None for q, _, _ in weights})
+        place = {q: i for i, q in enumerate(names)}
+        terms, start, count = np.unique(np.array([t for _, t, _ in weights], object), return_index=True, return_counts=True) if weights else (np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        who, weight = np.array([place[q] for q, _, _ in weights], np.int64), np.array([w for _, _, w in weights], np.float64)
+        lookup = pa.array(terms.tolist(), pa.string())
+        q_type, id_type = (d.schema[c].dataType.simpleString() for d, c in ((self.asked, "query_id"), (self.rows, "id")))
+        step, kind = max(1, CELLS // max(len(names), 1)), self.kind
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = pa.array(names, kind)
+            for batch in batches:
+                for a in range(0, batch.num_rows, step) if names else ():
+                    part = batch.slice(a, step)
+                    lists, n = part.column(3), part.num_rows
+                    items = lists.flatten()
+                    doc = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+                    code = pc.fill_null(pc.index_in(items.field("term"), lookup), -1).to_numpy()
+                    use = code >= 0
+                    code, doc, tf = code[use], doc[use], items.field("tf").to_numpy()[use].astype(np.float64)
+                    worth = value(tf, part.column(1).to_numpy()[doc], part.column(2).to_numpy()[doc])
+                    many = count[code]
+                    at = np.repeat(start[code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    s = np.bincount(who[at] * n + np.repeat(doc, many), weight[at] * np.repeat(worth, many), len(names) * n).reshape(len(names), n)
+                    least = -np.partition(-s, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+                    # what ties with the last place to nine digits goes along: ids decide later
+                    q, d = np.nonzero((s >= least[:, None] - 2e-9) & (s > 0))
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), part.column(0).take(pa.array(d)), pa.array(s[q, d])], names=["query_id", "id", "score"])
+
+        return _best(self.rows.select("id", "dl", "norm", "words").mapInArrow(run, f"query_id {q_type}, id {id_type}, score double"), k)
+
 
 def profiles(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", kept: Column | None = None) -> Profiles:
     """One scan of the documents for all lists of a search.
@@ -110,9 +163,9 @@ def profiles(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col:
     """
     asked = query_terms(queries, query_id, query_text)
     most = BROADCAST_BYTES // TERM_BYTES
-    found = [r["term"] for r in asked.select("term").distinct().limit(most + 1).collect()]
-    few = len(found) <= most
-    wanted = pa.array(found, pa.string()) if few else None
+    found = asked.limit(most + 1).toArrow()
+    known = list(zip(*(found.column(c).to_pylist() for c in ("query_id", "term", "qtf")))) if found.num_rows <= most else None
+    wanted = None if known is None else pa.array(sorted({t for _, t, _ in known}), pa.string())
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))).alias("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +181,11 @@ def profiles(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.lengths().astype(np.int32)), pa.array(norm), part.column(2), pa.ListArray.from_arrays(pa.array(offs), items)], names=["id", "dl", "norm", "kept", "words"])
 
     rows = cut(inner.mapInArrow(run, f"id {inner.schema['id'].dataType.simpleString()}, dl int, norm double, kept boolean, words array<struct<term string, tf bigint>>"))
-    if not few:
+    if known is None:
         terms = asked.select("term").distinct()
         held = rows.select("id", F.inline("words")).join(terms, "term").groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
         rows = cut(rows.drop("words").join(held, "id", "left"))
-    return Profiles(rows, asked, few)
+    return Profiles(rows, asked, known, found.schema.field("query_id").type)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query", k1: float = K1, b: float = B) -> DataFrame:
@@ -146,8 +199,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col: str
 
 
 def bm25_of(found: Profiles, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    if k is not None and found.known is not None:
+        n, avgdl, df = found.facts()
+        weights = [(q, t, qtf * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))) for q, t, qtf in found.known if t in df]
+        return found.best(weights, lambda tf, dl, norm: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), k)
     postings = found.postings()
-    return rank(postings, document_frequency(postings), _stats(found.rows), found.asked, k, found.hint, k1, b)
+    return rank(postings, document_frequency(postings), _stats(found.rows), found.asked, k, _hint(found), k1, b)
+
+
+def _hint(found: Profiles):
+    """The queries bound every side that follows from them."""
+    return (lambda df: df) if found.known is None else F.broadcast
 
 
 def rank(postings: DataFrame, df: DataFrame, stats: DataFrame, asked: DataFrame, k: int | None, hint, k1: float = K1, b: float = B) -> DataFrame:
@@ -175,7 +237,14 @@ def bag_cosine(docs: DataFrame, queries: DataFrame, k: int | None = None, id_col
 
 
 def bag_cosine_of(found: Profiles, k: int | None = None) -> DataFrame:
-    held, hint = found.postings(), found.hint
+    if k is not None and found.known is not None:
+        df = found.facts()[2]
+        square: dict = {}
+        for q, t, qtf in found.known:
+            if t in df:
+                square[q] = square.get(q, 0) + qtf * qtf
+        return found.best([(q, t, qtf / math.sqrt(square[q])) for q, t, qtf in found.known if t in df], lambda tf, dl, norm: tf / norm, k)
+    held, hint = found.postings(), _hint(found)
     # of the corpus only whether it has a query's term at all
     asked = found.asked.join(held.select("term").distinct(), "term", "left_semi")
     length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))

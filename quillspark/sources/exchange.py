@@ -91,6 +91,24 @@ def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return rows, envelope
 
 
+def decode_records(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """id, vector, metadata, timestamp, error of stored records as JSON text.
+
+    The vector is an array, or the object of numbered components that typed
+    arrays become in JSON. A record without an id, a vector, metadata or a time
+    says in error which it lacks; nothing is dropped.
+    """
+    text = F.col(value_col)
+    array = F.from_json(F.get_json_object(text, "$.vector"), "array<float>")
+    pairs = F.from_json(F.get_json_object(text, "$.vector"), "map<string,float>")
+    numbered = F.transform(F.map_entries(pairs), lambda e: F.struct(e["key"].try_cast("int").alias("at"), e["value"].alias("x")))
+    ordered = F.transform(F.array_sort(numbered), lambda e: e["x"])
+    vector = F.when(F.get_json_object(text, "$.vector").startswith("{"), ordered).otherwise(array)
+    out = lines.select(F.get_json_object(text, "$.id").alias("id"), vector.alias("vector"), F.get_json_object(text, "$.metadata").alias("metadata"), F.get_json_object(text, "$.timestamp").try_cast("bigint").alias("timestamp"))
+    missing = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in (("id", F.col("id") == ""), ("vector", F.size("vector") <= 0), ("metadata", F.col("metadata") == ""), ("timestamp", F.col("timestamp") == 0)))))
+    return out.withColumn("error", F.when(F.size(missing) > 0, F.concat(F.lit("no "), F.array_join(missing, ", "))))
+
+
 def validate(rows: DataFrame, envelope: dict, dimensions: int | None = None) -> None:
     """Warns of a later minor version than this one's. Raises unless the version's major is 1, all vectors have the dimensions and the count is that announced."""
     major = str(envelope.get("version", "")).split(".")[0]

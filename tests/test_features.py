@@ -366,3 +366,40 @@ def test_vector_bench_knows_the_truth(spark):
     assert got[0]["recall"] == 1.0 and got[0]["hits"] == 500
     x = vector_bench.points(100, 8)
     assert vector_bench.truth(x, 2, 3)[0] == set(np.argsort(-(x @ x[0]))[:3].tolist())
+
+
+def test_tools_over_http(spark, tmp_path):
+    import threading
+    import urllib.request
+
+    held = Collection(spark, f"file://{tmp_path}/c", 2)
+    held.clear()
+    server = cli.http_server(Tools(held))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        with urllib.request.urlopen(at, timeout=20) as r:
+            assert [t["name"] for t in json.load(r)] == Tools(held).names()
+        call = json.dumps({"tool": "insert_document", "params": {"text": "x", "id": "a", "vector": [1, 0]}}).encode()
+        with urllib.request.urlopen(at, data=call, timeout=60) as r:
+            assert json.load(r) == {"result": "a"}
+        with urllib.request.urlopen(at, data=b"{}", timeout=20) as r:
+            assert "error" in json.load(r)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_outputs_of_models():
+    assert embed.vectors_of([1.0, 2.0]) == [[1.0, 2.0]]
+    assert embed.vectors_of([1.0, 2.0, 3.0, 4.0], 2) == [[1.0, 2.0], [3.0, 4.0]]
+    assert embed.vectors_of([[[1.0, 3.0], [3.0, 5.0]]]) == [[2.0, 4.0]]
+    assert embed.vectors_of({"data": [1, 2, 3, 4], "dims": [2, 2]}) == [[1.0, 2.0], [3.0, 4.0]]
+    with pytest.raises(errors.DimensionMismatch):
+        embed.vectors_of([[1.0, 2.0]], 3)
+
+
+def test_hash_embedder_equals_the_column(spark):
+    texts = ["", "abc", "Ünïcode ✓", "a" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(embed.hash_embedding(F.col("t"), 16).alias("v")).collect()
+    assert np.allclose([r["v"] for r in rows], embed.HashEmbedder(16).embed(texts))
