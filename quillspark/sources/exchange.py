@@ -32,12 +32,12 @@ def numbered(rows: DataFrame, chunk: int, id_col: str = "id") -> DataFrame:
 
 
 def progress(rows: DataFrame, chunk: int, id_col: str = "id") -> DataFrame:
-    """chunk_id, n, loaded (running), total, percent."""
+    """chunk_id, n, loaded (running), total, percent. All chunks but the last are full, so what is loaded follows from the number alone."""
     counts = numbered(rows.select(id_col), chunk, id_col).groupBy("chunk_id").agg(F.count("*").alias("n"))
-    # one row for each chunk
-    total = F.sum("n").over(Window.partitionBy())
-    loaded = F.sum("n").over(Window.orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("chunk_id", "n", loaded.alias("loaded"), total.alias("total")).withColumn("percent", F.col("loaded") * 100.0 / F.col("total"))
+    # one row
+    total = rows.agg(F.count("*").alias("total"))
+    loaded = F.least((F.col("chunk_id") + 1) * chunk, F.col("total"))
+    return counts.crossJoin(F.broadcast(total)).select("chunk_id", "n", loaded.alias("loaded"), "total").withColumn("percent", F.col("loaded") * 100.0 / F.col("total"))
 
 
 def ndjson_lines(rows: DataFrame, chunk: int = 100, metric: str = "cosine", exported_at: int | None = None) -> DataFrame:
