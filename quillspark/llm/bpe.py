@@ -14,6 +14,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -225,18 +226,13 @@ class Known:
         split = self.bpe.pattern.findall
         words = [split(t) if t else [] for t in texts]
         number = self.number
-        new: dict[str, int] = {}
-        for ws in words:
-            for w in ws:
-                if w not in number:
-                    number[w] = len(number)
-                    new[w] = 0
+        new = [w for w in dict.fromkeys(chain.from_iterable(words)) if w not in number]
         if new:
-            flat, count = self.bpe.encode_pieces(list(new))
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            flat, count = self.bpe.encode_pieces(new)
             self.flat, self.count = [np.concatenate([*self.flat, flat])], [np.concatenate([*self.count, count])]
         per = np.array([len(ws) for ws in words], np.int64)
-        get = number.__getitem__
-        ids = np.fromiter((i for ws in words for i in map(get, ws)), np.int64, int(per.sum()))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(per.sum()))
         flat, count = self.flat[0], self.count[0]
         begin = np.cumsum(count) - count
         n = count[ids]
