@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.errors import EngineError
 from quillspark.functions import text as T
-from quillspark.operators import fusion, sparse
+from quillspark.operators import fusion, search, sparse
 from quillspark.session import cut
 
 ITEM = "[{index}] {content}"
@@ -157,7 +157,7 @@ def retrieve(docs: DataFrame, queries: DataFrame, profile: Profile = Profile(),
     else:
         hits = sparse.bag_cosine(rows, queries, pool, id_col, text_col)
     stub = F.col("dense_rank").isNull() if profile.hybrid and profile.stubs else F.lit(False)
-    hits = hits.select("query_id", "id", "score", "rank", stub.alias("_stub")).join(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")), "id")
+    hits = search.hydrate(hits.select("query_id", "id", "score", "rank", stub.alias("_stub")), rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("content")), keep=["content"])
     hits = hits.withColumn("content", F.when(F.col("_stub"), F.lit("")).otherwise(F.col("content"))).drop("_stub")
     if real:
         hits = fusion.lexical_rerank(hits.join(queries, "query_id"), content="content").withColumn("rank", F.col("new_rank")).where(F.col("rank") <= profile.top_k)

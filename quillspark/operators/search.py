@@ -146,9 +146,14 @@ def _scores(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
     return np.round(s, 9), 0.0
 
 
-def hydrate(hits: DataFrame, rows: DataFrame, id_col: str = "id", keep: list[str] = ()) -> DataFrame:
-    """hits with columns of rows; hits whose row is gone are dropped. The few hits are the broadcast side if their size allows."""
-    return hits.join(rows.select(id_col, *keep), id_col)
+def hydrate(hits: DataFrame, rows: DataFrame, id_col: str = "id", keep: list[str] = (), row_bytes: int = 128) -> DataFrame:
+    """hits with columns of rows; hits whose row is gone are dropped.
+
+    The hits are made once and counted: if their size allows they go to the rows,
+    which then aren't shuffled, and only the columns in keep are read of them.
+    """
+    held = cut(hits)
+    return rows.select(id_col, *keep).join(F.broadcast(held) if fits(held, row_bytes) else held, id_col)
 
 
 def live(rows: DataFrame, tombstones: DataFrame, id_col: str = "id") -> DataFrame:

@@ -97,7 +97,7 @@ def model_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.operators import sparse
 
     docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    hits = sparse.bm25(docs, asked, 8, "doc_id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "query_id")
+    hits = search.hydrate(sparse.bm25(docs, asked, 8, "doc_id"), docs.withColumnRenamed("doc_id", "id"), keep=["text"]).join(asked, "query_id")
 
     def make():
         return lambda q, c: [float(len(x) % 17) for x in c]

@@ -134,7 +134,7 @@ def vec_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     hits = search.top_k(rows, first_vector(spark, sf_dir), 10)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return search.hydrate(F.broadcast(hits), rows, keep=["label", "vector"]).select(F.col("id").alias("vec_id"), "label", r6("score"), F.round(total, 6).alias("total"))
+    return search.hydrate(hits, rows, keep=["label", "vector"]).select(F.col("id").alias("vec_id"), "label", r6("score"), F.round(total, 6).alias("total"))
 
 
 @register("r11_index_stats", "select count(*) count, max(len(embedding)) dimensions, count(*) * (4 * max(len(embedding)) + 320) memory_bytes from embeddings")
@@ -300,7 +300,7 @@ _OVERLAP = f"len(list_filter({_tok('d.text')}, lambda t: list_contains({_tok('b.
 @register("r30_lexical_rerank", f"with {_bm25_sql()}, o as (select br.*, case when rank <= 5 then {_OVERLAP} end overlap from br join documents d on d.doc_id = br.id join benchmark b on b.item_id = br.query_id) select query_id, id, overlap, row_number() over (partition by query_id order by rank <= 5 desc, overlap desc nulls last, case when rank <= 5 then -round(score, 9) end, rank) new_rank from o")
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    hits = sparse.bm25(docs, asked, 10, "doc_id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "query_id")
+    hits = search.hydrate(sparse.bm25(docs, asked, 10, "doc_id"), docs.withColumnRenamed("doc_id", "id"), keep=["text"]).join(asked, "query_id")
     return fusion.lexical_rerank(hits, 5).select("query_id", "id", F.col("overlap").cast("bigint").alias("overlap"), F.col("new_rank").cast("bigint").alias("new_rank"))
 
 
@@ -357,7 +357,8 @@ def truncate_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hits = sparse.bm25(docs, questions(spark, sf_dir), 5, "doc_id")
-    return hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "score").toDF("query_id", "id", "rank", "score", "raw").join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title")), "id")
+    scored = hits.select("query_id", "id", "rank", F.round("score", 6).alias("score"), F.col("score").alias("raw"))
+    return search.hydrate(scored, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title")), keep=["content", "title"])
 
 
 @register("r35_prompts", f"with {_bm25_sql(k=5)}, c as (select query_id, string_agg('[' || rank || '] ' || d.text, chr(10) || chr(10) order by rank) context from br join documents d on d.doc_id = br.id group by 1) select item_id query_id, length(coalesce(context, '{T.NOTHING_FOUND}')) context_chars, md5('S' || coalesce(context, '{T.NOTHING_FOUND}') || '?' || text) digest from benchmark b left join c on b.item_id = c.query_id")

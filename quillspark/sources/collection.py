@@ -1,10 +1,11 @@
 """A collection: rows of id, vector, metadata and timestamp in a folder of Parquet files.
 
-Writes append; the latest row of an id counts, and a delete appends a tombstone.
-compact() rewrites the table once tombstones outnumber 0.3 of the live rows. Each
-rewrite is a folder of its own: readers take the newest whole one, so they never
-see a gap, and a writer that is lost leaves the old one as it was. One writer at
-a time.
+Writes append to a log beside a base of unique rows; the latest row of an id
+counts, and a delete appends a tombstone. Readers take the base as it is, without
+the ids of the log, so only the log is shuffled. compact() rewrites both into a
+new base once dead rows outnumber 0.3 of the live ones. Each rewrite is a folder
+of its own: readers take the newest whole one, so they never see a gap, and a
+writer that is lost leaves the old one as it was. One writer at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from quillspark.errors import DimensionMismatch, InvalidParams, check_vector, sanitise
 from quillspark.functions.filters import Json, condition
 from quillspark.operators import search
+from quillspark.session import small
 
 SCHEMA = "id string, vector array<float>, metadata string, timestamp bigint, seq bigint, deleted boolean"
 
@@ -48,19 +50,28 @@ class Collection:
         return sorted(n for n in names if n.startswith("vectors-") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS")))
 
     def _current(self) -> str:
-        return f"{self.folder}/{(self._versions() or ['vectors-00000000'])[-1]}"
+        return (self._versions() or ["vectors-00000000"])[-1]
 
     def _rewrite(self, rows: DataFrame) -> None:
-        """rows as the newest table. The one before stays for readers that have begun; older ones go."""
-        old = self._versions()
-        rows.write.mode("overwrite").parquet(f"{self.folder}/vectors-{int(old[-1].split('-')[1]) + 1 if old else 0:08d}")
-        fs, _ = self._fs()
-        for name in old[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}"), True)
+        """Unique rows as the newest base, with an empty log. The one before stays for readers that have begun; older ones go."""
+        now = int(self._current().split("-")[1])
+        rows.write.mode("overwrite").parquet(f"{self.folder}/vectors-{now + 1:08d}")
+        fs, at = self._fs()
+        for found in list(fs.listStatus(at)):
+            kind, _, number = found.getPath().getName().partition("-")
+            if kind in ("vectors", "log") and number.isdigit() and int(number) < now:
+                fs.delete(found.getPath(), True)
+
+    def _base(self) -> DataFrame:
+        return self._read(self._current())
 
     def _log(self) -> DataFrame:
+        """What was written since the base."""
+        return self._read(self._current().replace("vectors", "log"))
+
+    def _read(self, name: str) -> DataFrame:
         try:
-            return self.spark.read.schema(SCHEMA).parquet(self._current())
+            return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -68,7 +79,15 @@ class Collection:
 
     def rows(self) -> DataFrame:
         """Live rows: id, vector, metadata (JSON), timestamp."""
-        return search.latest(self._log()).where(~F.coalesce("deleted", F.lit(False))).select("id", "vector", "metadata", "timestamp")
+        return self._live(self._base(), self._log())
+
+    @staticmethod
+    def _live(base: DataFrame, log: DataFrame) -> DataFrame:
+        alive = ~F.coalesce("deleted", F.lit(False))
+        columns = ("id", "vector", "metadata", "timestamp")
+        newer = search.latest(log).where(alive).select(*columns)
+        # the ids alone go to the base if their size allows
+        return base.join(small(log.select("id").distinct()), "id", "left_anti").select(*columns).unionByName(newer)
 
     def append(self, rows: DataFrame) -> None:
         """Rows of id, vector, metadata as JSON, timestamp, seq, deleted; missing columns get their defaults."""
@@ -77,7 +96,7 @@ class Collection:
         defaults = {"metadata": F.lit("{}"), "timestamp": F.lit(now), "seq": F.monotonically_increasing_id(), "deleted": F.lit(False)}
         columns = [F.col(c) if c in have else defaults[c].alias(c) for c in ("id", "vector", "metadata", "timestamp", "seq", "deleted")]
         out = rows.select(*columns)
-        out.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMA.split(", ")))).write.mode("append").parquet(self._current())
+        out.select(*(F.col(c).cast(t).alias(c) for c, t in (x.split(" ", 1) for x in SCHEMA.split(", ")))).write.mode("append").parquet(f"{self.folder}/{self._current().replace('vectors', 'log')}")
 
     # Single records
 
@@ -112,7 +131,7 @@ class Collection:
         return self.insert_batch([item])[0]
 
     def get(self, id_: str) -> Row | None:
-        found = search.latest(self._log().where(F.col("id") == id_)).where(~F.coalesce("deleted", F.lit(False))).collect()
+        found = self._live(*(rows.where(F.col("id") == id_) for rows in (self._base(), self._log()))).collect()
         return found[0] if found else None
 
     def get_batch(self, ids: list[str]) -> DataFrame:
@@ -180,7 +199,7 @@ class Collection:
         log = self._log()
         live = self.rows()
         n = live.count()
-        if not (force or search.needs_compaction(n, log.count() - n)):
+        if not (force or search.needs_compaction(n, self._base().count() + log.count() - n)):
             return False
         self._rewrite(live.withColumn("seq", F.lit(0).cast("bigint")).withColumn("deleted", F.lit(False)))
         return True

@@ -291,10 +291,32 @@ def test_rewrites_are_versions(spark, tmp_path):
     # a writer that was lost on the way changes nothing
     os.makedirs(f"{tmp_path}/c/vectors-00000099")
     assert held.count() == 6
+    held.compact(force=True)
+    assert held.count() == 6 and not os.path.exists(f"{tmp_path}/c/log-00000000") and os.path.exists(f"{tmp_path}/c/vectors-00000001")
     held.insert({"id": "new", "vector": [0.0, 1.0]})
     assert held.count() == 7 and held.search(1, vector=[0.0, 1.0], include_vectors=True).first()["vector"] == [0.0, 1.0]
 
 
+def test_the_base_is_not_shuffled(spark, tmp_path):
+    held = Collection(spark, f"file://{tmp_path}/c", 2)
+    held.insert_batch([{"id": str(i), "vector": [float(i), 1.0]} for i in range(20)])
+    held.compact(force=True)
+    held.insert({"id": "3", "vector": [9.0, 9.0]})
+    held.delete("4")
+    rows = {r["id"]: list(r["vector"]) for r in held.rows().collect()}
+    assert len(rows) == 19 and rows["3"] == [9.0, 9.0] and "4" not in rows
+    plan = held.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
+def test_hits_go_to_their_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("doc_id", "id")
+    hits = spark.createDataFrame([(1, 3), (1, 5), (2, 3), (2, -1)], "query_id int, id bigint")
+    out = search.hydrate(hits, docs, keep=["lang"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 3 and "BroadcastHashJoin" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
