@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from quillspark.llm import queries
+from test_simhash import changed_pairs
 
 
 def write(spark, folder, rows, labels):
@@ -52,6 +53,15 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_no_near_duplicate_gets_through(spark, tmp_path):
+    """Pairs at the edge of the radius whose least certain bits are not those that differ."""
+    one, other = changed_pairs(1500)
+    texts = [side[i].decode() for i in (270, 754, 793, 857) for side in (one, other)]
+    write(spark, tmp_path, [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], [(0, 1, 0)])
+    bins = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert {d for r in bins.collect() for d in r["doc_ids"]} == {0, 2, 4, 6}
+
+
 def test_each_stage_reads_what_the_last_one_wrote(spark, tmp_path, monkeypatch):
     write(spark, tmp_path, [(i, f"text {i}", "en", "src", 6) for i in range(5)], [(0, 1, 0)])
     read = []
