@@ -229,6 +229,31 @@ def test_batches_beyond_a_broadcast(spark, monkeypatch):
     assert {tuple(r) for r in search.within_cells(cells, near, 4, block=16).select("query_id", "id", "rank").collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_blocks_of_rows_send_on_the_best_of_a_task_alone(spark, monkeypatch, metric):
+    x = unit(600, 8)
+    # copies tie by id, a vector without length and a long one go along
+    x[300:420], x[5], x[6] = x[:120], 0, x[6] * 1e4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>").repartition(3)
+    asked = rows.withColumnsRenamed({"id": "query_id", "vector": "query_vector"})
+    sent, best = [], search._best
+    monkeypatch.setattr(search, "QUERY_BYTES", session.BROADCAST_BYTES)
+    monkeypatch.setattr(search, "_best", lambda pairs, k: sent.append(pairs.count()) or best(pairs, k))
+    got = {}
+    for r in search.batch_top_k(rows, asked, 4, metric, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    x = x.astype(np.float64)
+    if metric == "euclidean":
+        s = 1 / (1 + np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)))
+    else:
+        length = np.outer(*[np.linalg.norm(x, axis=1)] * 2)
+        s = x @ x.T if metric == "dot" else np.where(length == 0, 0, x @ x.T / np.where(length == 0, 1, length))
+    s = np.round(s, 9)
+    assert got == {i: np.lexsort((np.arange(600), -s[i]))[:4].tolist() for i in range(600)}
+    # a list for each of a dozen tasks at most, not for each of forty blocks
+    assert sent[0] <= 600 * 4 * 12
+
+
 def test_means_of_cells(spark):
     x = unit(100, 5)
     rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(100, None, 1)], "id int, vector array<float>, cell int").repartition(4)
