@@ -65,6 +65,36 @@ def test_graph_removes_replaces_and_filters():
         g.insert(1, [1.0])
 
 
+def test_graph_recall_holds_in_larger_graphs():
+    x = unit(6200, 64, 11)
+    g = graph.Graph(64, m=8, width=60)
+    for i, v in enumerate(x[:6000]):
+        g.insert(i, v)
+    hits = [{i for i, _ in g.search(q, 10, 96)} for q in x[6000:]]
+    assert np.mean([len(h & set(nearest(x[:6000], q, 10))) / 10 for h, q in zip(hits, x[6000:])]) > 0.85
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_small_graphs_answer_many_queries_at_once(metric, monkeypatch):
+    x = unit(300, 16)
+    x[200:230] = x[0]
+    g = graph.Graph(16, metric, m=8, width=60)
+    for i, v in enumerate(x):
+        g.insert(i, v)
+    g.remove(0)
+    monkeypatch.setattr(graph.Graph, "_walk", None)
+    who, ids, score = g.search_many(x[:50], 5)
+    got = {}
+    for q, i, s in zip(who.tolist(), ids.tolist(), score.tolist()):
+        got.setdefault(q, []).append(i)
+        assert abs(s - {"cosine": x[q] @ x[i], "dot": x[q] @ x[i], "euclidean": 1 / (1 + np.linalg.norm(x[q] - x[i]))}[metric]) < 1e-5
+    assert got[0] == [200, 201, 202, 203, 204]
+    assert all(got[q] == nearest(x, x[q], 5, {0}) for q in range(1, 50) if 200 not in nearest(x, x[q], 40, {0})[:5])
+    who, ids, _ = g.search_many(x[:3], 5, allowed=np.array([7, 9]))
+    assert sorted(ids[who == 2].tolist()) == [7, 9]
+    assert len(graph.Graph(16).search_many(x[:3], 5)[0]) == 0
+
+
 def test_graph_index(spark, tmp_path):
     x = unit(400, 16)
     rows = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(x)], "id bigint, vector array<float>, kind int")
