@@ -331,6 +331,28 @@ def test_stream_of_keywords(spark, tmp_path):
         assert got == [(r["id"], r["rank"], round(r["score"], 9)) for r in want] and got
 
 
+def test_no_task_holds_all_documents_of_a_stream(spark, tmp_path):
+    from quillspark.plans import api as catalog
+
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    rows = spark.createDataFrame([(i, f"alpha beta{i % 7} gamma{i}") for i in range(400)], "doc_id bigint, text string")
+    rows.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(0, 400, 9)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "alpha beta3")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, shared = f"{tmp_path}/work", catalog.QUERIES["r70_stream_bm25"].__globals__["shared"]
+    catalog.QUERIES["r70_stream_bm25"].__globals__["shared"] = lambda spark: at
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert catalog.QUERIES["r70_stream_bm25"](spark, str(tmp_path)).count() == 10
+    finally:
+        catalog.QUERIES["r70_stream_bm25"].__globals__["shared"] = shared
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    each = spark.read.parquet(f"{at}/in").where("seq = 1").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in each) == 400 and max(r["count"] for r in each) < 200
+
+
 # Collections, models, command line
 
 
