@@ -28,12 +28,21 @@ def search_cells(spark: SparkSession, path: str, vector, k: int, probes: int, me
 
 
 def write_postings(docs: DataFrame, path: str, id_col: str = "id", text_col: str = "text", parts: int = PARTS) -> None:
-    """Postings and document frequencies in a folder for each hash of terms, and the corpus's figures."""
+    """Postings and document frequencies in a folder for each hash of terms, and the corpus's figures.
+
+    Each task writes the postings of its own documents, by term, to all folders:
+    nothing is shuffled but the frequencies, and documents are tokenised once.
+    """
     part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
-    sparse.tokens(docs, id_col, text_col).withColumn("part", part).repartition("part").sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("part", "term").agg(F.count("*").alias("df")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/df")
-    sparse.corpus_stats(docs, id_col, text_col).withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{path}/stats")
+    found = sparse.tokens(docs, id_col, text_col).withColumn("part", part)
+    found.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    stored = docs.sparkSession.read.schema(found.schema).parquet(f"{path}/postings")
+    stored.groupBy("part", "term").agg(F.count("*").alias("df")).write.mode("overwrite").partitionBy("part").parquet(f"{path}/df")
+    # the lengths of all documents add up to the terms' counts
+    total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    n = docs.agg(F.count("*").alias("n"))
+    stats = n.crossJoin(total).select("n", F.coalesce(F.col("total") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("avgdl"), F.lit(parts).alias("parts"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def search_postings(spark: SparkSession, path: str, queries: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query") -> DataFrame:

@@ -15,7 +15,7 @@ from quillspark.functions.filters import Typed, condition
 from quillspark.functions.words import Words
 from quillspark.models import tier_of
 from quillspark.operators import chunk, fusion, graph, rag, search, sparse, vector_bench
-from quillspark.sources import exchange
+from quillspark.sources import derived, exchange
 from quillspark.sources.collection import Collection
 from quillspark.streaming import ingest
 from quillspark.tools import Tools
@@ -353,6 +353,25 @@ def test_no_task_holds_all_documents_of_a_stream(spark, tmp_path):
     assert sum(r["count"] for r in each) == 400 and max(r["count"] for r in each) < 200
 
 
+def test_postings_are_written_by_the_tasks_that_read(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, None if i == 5 else f"alpha beta{i % 7} gamma{i}") for i in range(200)], "id bigint, text string").repartition(4).withColumn("text", F.col("text"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = []
+    monkeypatch.setattr(sparse, "corpus_stats", lambda *a: read.append(a))
+    derived.write_postings(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/at", parts=3)
+    assert not read
+    want = sparse._stats(sparse.lengths(docs)).first()
+    got = spark.read.parquet(f"{tmp_path}/at/stats").first()
+    assert (got["n"], round(got["avgdl"], 9), got["parts"]) == (200, round(want["avgdl"], 9), 3)
+    # a folder's postings come from several tasks
+    assert all(len([f for f in os.listdir(f"{tmp_path}/at/postings/part={p}") if f.endswith(".parquet")]) > 1 for p in range(3))
+    asked = spark.createDataFrame([(1, "alpha beta3 gamma9")], "query_id int, query string")
+    rows = lambda df: [(r["id"], r["rank"], round(r["score"], 9)) for r in df.orderBy("rank").collect()]
+    assert rows(derived.search_postings(spark, f"{tmp_path}/at", asked, 8)) == rows(sparse.bm25(docs, asked, 8))
+    derived.write_postings(docs.limit(0), f"{tmp_path}/none", parts=3)
+    assert tuple(spark.read.parquet(f"{tmp_path}/none/stats").first()) == (0, 0.0, 3)
+
+
 # Collections, models, command line
 
 
