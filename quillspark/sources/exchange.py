@@ -14,6 +14,8 @@ from quillspark.session import cut
 
 VERSION = "1.0.0"
 ENTRY = "struct<id:string,vector:array<float>,metadata:string,timestamp:bigint>"
+#: How the lines before and after an export's vectors end and begin.
+_OPEN, _CLOSE = ',"vectors":[', '],"index":'
 
 
 def numbered(rows: DataFrame, chunk: int, id_col: str = "id") -> DataFrame:
@@ -58,26 +60,49 @@ def export_ndjson(rows: DataFrame, path: str, chunk: int = 100, metric: str = "c
 
 
 def export_json(rows: DataFrame, path: str, metric: str = "cosine") -> None:
-    """One JSON object for each of the facts and vectors in one file: for collections that fit a single record."""
-    facts = rows.agg(F.array_sort(F.collect_list(F.struct("id", "vector", "metadata", "timestamp")), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("vectors"), F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d"))
-    whole = F.struct(F.lit(VERSION).alias("version"), F.struct(F.col("d").alias("dimensions"), F.lit(metric).alias("metric")).alias("config"), "vectors", F.lit("").alias("index"), F.struct(F.lit(int(time.time() * 1000)).alias("exportedAt"), F.col("n").alias("vectorCount"), F.col("d").alias("dimensions")).alias("metadata"))
-    facts.select(F.to_json(whole).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON object of the facts and vectors, a line for each vector: files of lines that make it up in the order of their names, so that no task holds it whole."""
+    facts = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d"))
+    config = F.to_json(F.struct(F.col("d").alias("dimensions"), F.lit(metric).alias("metric")))
+    meta = F.to_json(F.struct(F.lit(int(time.time() * 1000)).alias("exportedAt"), F.col("n").alias("vectorCount"), F.col("d").alias("dimensions")))
+    head = facts.select(F.lit(0).cast("bigint").alias("at"), F.concat(F.lit(f'{{"version":"{VERSION}","config":'), config, F.lit(_OPEN)).alias("value"))
+    tail = facts.select(F.lit(2**62).alias("at"), F.concat(F.lit(_CLOSE + '"","metadata":'), meta, F.lit("}")).alias("value"))
+    entry = F.to_json(F.struct("id", "vector", "metadata", "timestamp"))
+    each = numbered(rows, 1).crossJoin(F.broadcast(facts)).select((F.col("chunk_id") + 1).alias("at"), F.concat(entry, F.when(F.col("chunk_id") + 1 < F.col("n"), ",").otherwise("")).alias("value"))
+    head.unionByName(each).unionByName(tail).orderBy("at").select("value").write.mode("overwrite").text(path)
 
 
 def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
-    first = [r["value"] for r in lines.limit(2).collect()]
-    tagged = bool(first) and all(x.startswith("{") and x.endswith("}") for x in first) and (len(first) > 1 or '"type":"' in first[0].replace(" ", "")[:40])
+    # the beginnings alone: a line can be all of an export
+    first = lines.select(F.substring("value", 1, 64).alias("value"), F.col("value").endswith("}").alias("whole")).limit(2).collect()
+    tagged = bool(first) and all(x["value"].startswith("{") and x["whole"] for x in first) and (len(first) > 1 or '"type":"' in first[0]["value"].replace(" ", "")[:40])
     return (lines, True) if tagged else (spark.read.text(path, wholetext=True), False)
 
 
+def _laid_out(spark: SparkSession, path: str) -> tuple[DataFrame, str] | None:
+    """Rows and facts of what export_json() wrote, if every line is one of its own; the facts as JSON without the vectors."""
+    lines = spark.read.text(path)
+    v = F.col("value")
+    head, tail = v.startswith('{"version":') & v.endswith(_OPEN), v.startswith(_CLOSE) & v.endswith("}")
+    entry = ~head & v.startswith("{") & (v.endswith("}") | v.endswith("},"))
+    found = lines.agg(F.count_if(head).alias("heads"), F.count_if(tail).alias("tails"), F.count_if(~(head | tail | entry)).alias("others"), F.max(F.when(head, v)).alias("head"), F.max(F.when(tail, v)).alias("tail")).first()
+    if (found["heads"], found["tails"], found["others"]) != (1, 1, 0):
+        return None
+    rows = lines.where(entry).select(F.from_json(F.regexp_replace("value", ",$", ""), ENTRY).alias("e")).select("e.*")
+    return rows, found["head"] + found["tail"]
+
+
 def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """Rows (id, vector, metadata, timestamp) and the envelope's facts, of either format, told apart by its lines.
 
     Lines with unknown tags are passed over.
     """
-    lines, tagged = _lines(spark, path)
-    if tagged:
+    laid = _laid_out(spark, path)
+    lines, tagged = (None, False) if laid else _lines(spark, path)
+    if laid:
+        rows, source = laid
+        source = json.dumps({k: v for k, v in json.loads(source).items() if k in ("version", "config", "metadata")})
+    elif tagged:
         typed = lines.withColumn("type", F.get_json_object("value", "$.type"))
         rows = typed.where("type = 'vectors'").select(F.inline(F.from_json("value", f"data array<{ENTRY}>")["data"]))
         head = typed.where("type = 'metadata'").select(F.get_json_object("value", "$.data").alias("v")).first()

@@ -375,6 +375,46 @@ def test_postings_are_written_by_the_tasks_that_read(spark, tmp_path, monkeypatc
 # Collections, models, command line
 
 
+def test_json_export_is_one_object_over_many_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{i:03}", [float(i), -0.5], json.dumps({"a": "x,\n],"}) if i % 3 else None, i) for i in range(120)], "id string, vector array<float>, metadata string, timestamp bigint").repartition(3)
+    for n in (120, 1, 0):
+        path = f"{tmp_path}/{n}"
+        some = rows.orderBy("id").limit(n)
+        exchange.export_json(some, path)
+        files = sorted(f for f in os.listdir(path) if f.endswith(".txt"))
+        lines = [x for f in files for x in open(f"{path}/{f}")]
+        assert len(lines) == n + 2
+        whole = json.loads("".join(lines))
+        assert [v["id"] for v in whole["vectors"]] == [f"i{i:03}" for i in range(n)] and whole["metadata"]["vectorCount"] == n and whole["version"] == exchange.VERSION
+        back, envelope = exchange.read_export(spark, path)
+        assert {tuple(map(str, r)) for r in back.collect()} == {tuple(map(str, r)) for r in some.collect()}
+        assert envelope["metadata"]["vectorCount"] == n and "vectors" not in envelope
+    # the same object on one line, and over other lines, is read too
+    for name, text in (("one", json.dumps(json.loads("".join(lines)) | {"vectors": [{"id": "a", "vector": [1.0], "timestamp": 1}]})), ("laid", '{"version":"1.0.0","config":{},"vectors":[\n{"id":"a",\n"vector":[1.0],"timestamp":1}\n],"index":"","metadata":{}}')):
+        os.makedirs(f"{tmp_path}/{name}")
+        open(f"{tmp_path}/{name}/a.txt", "w").write(text)
+        assert [r["id"] for r in exchange.read_export(spark, f"{tmp_path}/{name}")[0].collect()] == ["a"]
+
+
+def test_chunks_of_long_texts_are_sent_on_in_slices(spark):
+    import pyarrow as pa
+
+    class Docs:
+        schema = spark.range(1).schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, kind):
+            raise StopIteration(run)
+
+    with pytest.raises(StopIteration) as found:
+        chunk.chunk_documents(Docs())
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(6), pa.int64()), "text": ["A sentence here. " * 150_000, None, "One. Two.", "", "B sentence. " * 200_000, "End."]})
+    parts = list(found.value.args[0](iter([batch])))
+    assert len(parts) > 1 and [i for p in parts for i in dict.fromkeys(p.column(0).to_pylist())] == [0, 2, 4, 5]
+
+
 def test_rewrites_are_versions(spark, tmp_path):
     held = Collection(spark, f"file://{tmp_path}/c", 2)
     held.insert_batch([{"id": str(i), "vector": [float(i), 1.0]} for i in range(10)])
