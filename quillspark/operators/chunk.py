@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from quillspark.functions.words import steps
+
 _BREAK = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -79,11 +81,12 @@ def register_sql(spark: SparkSession, name: str = "chunk_text", chunker: Chunker
 
 def chunk_documents(docs: DataFrame, chunker: Chunker = Chunker(), id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, chunk_id (id#index), chunk_index, start_offset, chunk of every document; null and blank texts have none."""
-    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # so much text at a time: a batch of long texts would be in memory several times over
+        for batch in steps(batches, "text"):
             row, index, start, text = [], [], [], []
             for r, t in enumerate(batch.column(1).to_pylist()):
                 for i, at, chunk in chunker.chunks(t):
