@@ -25,7 +25,7 @@ K1, B = 1.5, 0.75
 #: What a query term takes at most of memory, for the bound on those that go to every task.
 TERM_BYTES = 64
 #: Scores that are held at a time: queries times documents.
-CELLS = 2 << 20
+CELLS = 1 << 19
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -396,6 +396,23 @@ def test_json_export_is_one_object_over_many_lines(spark, tmp_path):
         assert [r["id"] for r in exchange.read_export(spark, f"{tmp_path}/{name}")[0].collect()] == ["a"]
 
 
+def test_counting_words_of_a_large_batch_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.functions.words import steps
+
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"word{(i * j) % 977} the" for j in range(200)) for i in range(6000)]})
+    tracemalloc.start()
+    try:
+        n = sum(int(Words(part.column(0)).counts()[2].sum()) for part in steps(iter([batch]), "text"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_200_000 and peak < 32e6
+
+
 def test_chunks_of_long_texts_are_sent_on_in_slices(spark):
     import pyarrow as pa
 
